@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A task's table of distinct words is emptied beyond this many entries; results don't depend on it.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,15 +77,13 @@ def token_counts(
                 batch = big.slice(at, 1000)
                 col = batch.column(batch.schema.get_field_index("__text"))
                 texts = col.to_pylist()
-                size = pa.compute.fill_null(pa.compute.binary_length(col), 0).cast(pa.int64())
+                size = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())
                 n = counter.count(texts)
                 cols = [batch.column(i) for i in range(len(names))]
                 if text_kept:
                     cols.append(col)
                 yield pa.RecordBatch.from_arrays([*cols, size, pa.array(n), pa.array(n > limit)], names=order)
 
-    import pyarrow.compute  # noqa: F401
-
     text_kept = text not in out
     order = [*names, *([text] if text_kept else []), *out]
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ([f"`{text}` string"] if text_kept else []) + [f"`{out[0]}` long", f"`{out[1]}` long", f"`{out[2]}` boolean"])

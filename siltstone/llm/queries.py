@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .op5_token_files import op5_token_files
 from .op7_token_counts import op7_token_counts
 
-QUERIES = {"op7_token_counts": op7_token_counts}
+QUERIES = {
+    "op5_token_files": op5_token_files,
+    "op7_token_counts": op7_token_counts,
+}
 
 SQL: dict[str, str] = {}
