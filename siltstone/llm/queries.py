@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from .op10_language_id import op10_language_id
 from .op5_token_files import op5_token_files
 from .op7_token_counts import op7_token_counts
 
 QUERIES = {
     "op5_token_files": op5_token_files,
     "op7_token_counts": op7_token_counts,
+    "op10_language_id": op10_language_id,
 }
 
 SQL: dict[str, str] = {}
