@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .op10_language_id import op10_language_id
+from .op2_toxicity import op2_toxicity
 from .op4_main_text import op4_main_text
 from .op5_token_files import op5_token_files
 from .op7_token_counts import op7_token_counts
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op4_main_text": op4_main_text,
     "op5_token_files": op5_token_files,
     "op7_token_counts": op7_token_counts,
