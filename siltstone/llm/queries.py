@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from .op10_language_id import op10_language_id
+from . import op6_exact_topk as op6
+from . import op8_source_mix as op8
 from .op2_toxicity import op2_toxicity
 from .op4_main_text import op4_main_text
 from .op5_token_files import op5_token_files
 from .op7_token_counts import op7_token_counts
+from .op10_language_id import op10_language_id
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_main_text": op4_main_text,
     "op5_token_files": op5_token_files,
+    "op6_exact_topk": op6.op6_exact_topk,
     "op7_token_counts": op7_token_counts,
+    "op8_source_mix": op8.op8_source_mix,
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op6_exact_topk": op6.SQL, "op8_source_mix": op8.SQL}
