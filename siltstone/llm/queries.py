@@ -8,6 +8,7 @@ from .op2_toxicity import op2_toxicity
 from .op4_main_text import op4_main_text
 from .op5_token_files import op5_token_files
 from .op7_token_counts import op7_token_counts
+from .op9_near_dedup import op9_near_dedup
 from .op10_language_id import op10_language_id
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_exact_topk": op6.op6_exact_topk,
     "op7_token_counts": op7_token_counts,
     "op8_source_mix": op8.op8_source_mix,
+    "op9_near_dedup": op9_near_dedup,
     "op10_language_id": op10_language_id,
 }
 
