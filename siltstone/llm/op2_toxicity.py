@@ -217,8 +217,8 @@ def _variants(word: str, rng: random.Random) -> list[str]:
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = 32, seed: int = 7) -> Model:
     """Trains on texts and their labels; without toxic examples every score is near 0."""
-    sentences = [[{letters(w) for w in s.split()} for s in SENTENCE.split(t)] for t in texts]
-    bags = [{w for s in doc for w in s if len(w) >= N} for doc in sentences]
+    same: dict[str, str] = {}  # one object for each word
+    bags = [{same.setdefault(w, w) for s in SENTENCE.split(t) for w in map(letters, s.split()) if len(w) >= N} for t in texts]
     n_toxic = sum(toxic)
     # near copies share their least word hash, and a word counts once for each
     df = (Counter(), Counter())
@@ -300,7 +300,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 32, seed: int = 7)
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 8000) -> Model:
+def train(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 4000) -> Model:
     """Fits on at most `most` labelled documents, those with the least hash of their key; null labels and texts don't count."""
     picked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").join(F.broadcast(picked), "k").orderBy("k").collect()
