@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import op1_decontaminate as op1
 from . import op6_exact_topk as op6
 from . import op8_source_mix as op8
 from .op2_toxicity import op2_toxicity
@@ -12,6 +13,7 @@ from .op9_near_dedup import op9_near_dedup
 from .op10_language_id import op10_language_id
 
 QUERIES = {
+    "op1_decontaminate": op1.op1_decontaminate,
     "op2_toxicity": op2_toxicity,
     "op4_main_text": op4_main_text,
     "op5_token_files": op5_token_files,
@@ -22,4 +24,4 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
-SQL: dict[str, str] = {"op6_exact_topk": op6.SQL, "op8_source_mix": op8.SQL}
+SQL: dict[str, str] = {"op1_decontaminate": op1.SQL, "op6_exact_topk": op6.SQL, "op8_source_mix": op8.SQL}
