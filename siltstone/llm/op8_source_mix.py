@@ -22,7 +22,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
 
     Sources in code point order, null last, get the weights in turn. Targets share `share` of all words by weight; none
     exceeds `most` times its source's words, and what is over is shared again by weight: with sources in order of
-    capacity per weight, those are full whose capacity is at most their part of what earlier ones leave.
+    capacity per weight, those are full whose capacity is at most their part of what earlier ones leave, and the first that is not full sets the level.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     order = Window.orderBy(F.col("source").isNull(), "source")  # a row per source
@@ -32,28 +32,30 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share
     before = F.coalesce(F.sum("cap").over(rise.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     s = s.withColumn("level", (F.col("budget") - before) / F.sum("w").over(rise.rowsBetween(0, Window.unboundedFollowing)))
     s = s.withColumn("full", F.col("level") * F.col("w") >= F.col("cap"))
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(Window.partitionBy())
     return s.select("source", "source_size", "n", F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("w")).alias("target"))
 
 
-def fair_mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def fair_mix(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, carry: bool = False) -> DataFrame:
     """doc_id, size, source_size, target, passes, taken and start (the first pass's virtual time) of every row.
 
+    With carry, a struct `row` of all the input's columns comes too.
+
     size counts words, 0 for null and empty texts; passes says how often the mix takes the whole document (at most
     ceil(most) times), taken how many words that makes. A source is cut where its sum is nearest its target, so it is off
     by half a document at most. Null sources are a source; null keys come first in the shuffle; rows with one key follow
     each other by size, so the result doesn't depend on how the input is dealt. Sums within a source are by hash bucket,
     and then over buckets, so a source of any size is spread; the buckets' number follows the largest source.
     """
-    docs = saved(
-        df.select(
-            F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
-        )
-    )
+    size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORDS)), F.lit(0)).cast("long")
+    cols = [F.col(f"`{key}`").alias("doc_id"), F.col(f"`{source}`").alias("source"), size.alias("size")]
+    docs = saved(df.select(*cols))
     sources = saved(source_targets(docs, weights, share, most))
     largest = sources.agg(F.max("n")).first()[0] or 1
     digits = max(1, min(8, math.ceil(math.log(max(1, largest / 500), 16))))
     h = F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))
+    if carry:
+        docs = df.select(*cols, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     docs = docs.withColumn("h", h).withColumn("bucket", F.substring("h", 1, digits))
     sums = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     # buckets of a source are summed in two steps too: by leading digit, then within it
@@ -70,7 +72,14 @@ def fair_mix(df: DataFrame, source: str = "source", text: str = "text", key: str
     docs = _same(docs, offsets, "bucket")
     middle = F.col("before") + F.col("inside") + F.col("size") / 2
     passes: Column = sum((F.when(middle + k * F.col("source_size") <= F.col("target"), 1).otherwise(0) for k in range(math.ceil(most))), F.lit(0))
-    return docs.select("doc_id", "size", "source_size", "target", passes.alias("passes"), (passes * F.col("size")).cast("long").alias("taken"), F.when(F.col("target") > 0, middle / F.col("target")).alias("start"))
+    return docs.select(*(["row"] if carry else []), "doc_id", "size", "source_size", "target", passes.alias("passes"), (passes * F.col("size")).cast("long").alias("taken"), F.when(F.col("target") > 0, middle / F.col("target")).alias("start"))
+
+
+def mixed_documents(df: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """The mix itself: each row as often as it is taken, all columns, range-sorted by virtual time."""
+    m = fair_mix(df, source, text, key, carry=True, **options).filter("passes > 0")
+    m = m.select("row", "doc_id", "start", (F.col("source_size") / F.col("target")).alias("lap"), F.explode(F.sequence(F.lit(0), F.col("passes") - 1)).alias("n"))
+    return m.orderBy(F.col("start") + F.col("n") * F.col("lap"), "doc_id").select("row.*")
 
 
 def _same(a: DataFrame, b: DataFrame, on: str | None) -> DataFrame:
@@ -96,7 +105,7 @@ w AS (SELECT *, CAST([3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAS
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 f AS (SELECT source, source_size, CASE WHEN level * w >= cap THEN cap ELSE
-        (min(CASE WHEN NOT level * w >= cap THEN level END) OVER ()) * w END AS target FROM l),
+        (max(CASE WHEN NOT level * w >= cap THEN level END) OVER ()) * w END AS target FROM l),
 m AS (SELECT doc_id, size, source_size, target, size / 2.0 + coalesce(sum(size) OVER
         (PARTITION BY d.source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS mid
       FROM d JOIN f ON d.source IS NOT DISTINCT FROM f.source)
