@@ -6,6 +6,7 @@ from . import op1_decontaminate as op1
 from . import op6_exact_topk as op6
 from . import op8_source_mix as op8
 from .op2_toxicity import op2_toxicity
+from .op3_ngram_lm import op3_ngram_lm
 from .op4_main_text import op4_main_text
 from .op5_token_files import op5_token_files
 from .op7_token_counts import op7_token_counts
@@ -15,6 +16,7 @@ from .op10_language_id import op10_language_id
 QUERIES = {
     "op1_decontaminate": op1.op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_lm": op3_ngram_lm,
     "op4_main_text": op4_main_text,
     "op5_token_files": op5_token_files,
     "op6_exact_topk": op6.op6_exact_topk,
