@@ -46,21 +46,33 @@ class Shingles:
     def __init__(self, n: int):
         self.n, self.ids, self.hashes = n, Ids(), Grown(np.uint64)
 
-    def of(self, tokens: list[bytes]) -> np.ndarray:
-        if not tokens:
-            return np.empty(0, np.uint64)
+    def many(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The sets of texts given as words; new words are hashed once for all of them."""
         if len(self.ids) > WORDS_KEPT:
             self.ids, self.hashes = Ids(), Grown(np.uint64)
-        ids = self.ids.of(tokens)
-        if len(self.ids) > self.hashes.n:
-            new = list(islice(self.ids, self.hashes.n, None))
-            self.hashes.extend(np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new)))
-        h = self.hashes.view[ids]
-        m = max(1, len(h) - self.n + 1)
-        out = np.full(m, min(len(h), self.n), np.uint64)
-        for k in range(min(self.n, len(h))):
+        rows = [self.ids.of(t) for t in texts]
+        new = len(self.ids) - self.hashes.n
+        if new:
+            self.hashes.extend(np.fromiter(map(xxhash.xxh64_intdigest, islice(self.ids, self.hashes.n, None)), np.uint64, new))
+        h = self.hashes.view[np.concatenate(rows)] if rows else np.empty(0, np.uint64)
+        whole = self._runs(h, self.n) if len(h) >= self.n else h[:0]
+        out, at = [], 0
+        for r in rows:
+            m = len(r)
+            if m >= self.n:
+                out.append(np.unique(whole[at : at + m - self.n + 1]))
+            else:
+                out.append(self._runs(h[at : at + m], m) if m else h[:0])
+            at += m
+        return out
+
+    @staticmethod
+    def _runs(h: np.ndarray, n: int) -> np.ndarray:
+        m = len(h) - n + 1
+        out = np.full(m, n, np.uint64)
+        for k in range(n):
             out = _mix((out + STEP) ^ h[k : k + m])
-        return np.unique(out)
+        return out
 
 
 def class_key(tokens: list[bytes]) -> bytes:
@@ -79,13 +91,11 @@ def sketches(df: DataFrame, doc_id: str, text: str, n: int, k: int) -> DataFrame
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
-                keys, sizes, least = [], [], []
-                for text in batch.column(1):
-                    tokens = words(text.as_py())
-                    s = shingles.of(tokens)
-                    keys.append(class_key(tokens) if tokens else None)
-                    sizes.append(len(s))
-                    least.append(s[:k].view(np.int64))
+                tokens = [words(text.as_py()) for text in batch.column(1)]
+                sets = shingles.many(tokens)
+                keys = [class_key(t) if t else None for t in tokens]
+                sizes = [len(s) for s in sets]
+                least = [s[:k].view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "sketch"])
 
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -122,19 +132,19 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, k: int
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
-                sets: dict = {}
-                keep = []
-                for i, r in enumerate(batch.to_pylist()):
-                    both = []
-                    for doc, key, text in ((r["a"], r["ka"], r["ta"]), (r["b"], r["kb"], r["tb"])):
-                        if (doc, key) not in sets:
-                            tokens = words(text)
-                            sets[doc, key] = shingles.of(tokens) if class_key(tokens) == key else None  # an id may have several texts
-                        both.append(sets[doc, key])
-                    if both[0] is None or both[1] is None:
+                own: dict[bytes, list[bytes]] = {}
+                keep, rows = [], batch.to_pylist()
+                for r in rows:
+                    for key, text in ((r["ka"], r["ta"]), (r["kb"], r["tb"])):
+                        if key not in own and class_key(tokens := words(text)) == key:  # an id may have several texts
+                            own[key] = tokens
+                sets = dict(zip(own, shingles.many(list(own.values()))))
+                for i, r in enumerate(rows):
+                    a, b = sets.get(r["ka"]), sets.get(r["kb"])
+                    if a is None or b is None:
                         continue
-                    common = len(np.intersect1d(both[0], both[1], assume_unique=True))
-                    if 100 * common >= percent * (len(both[0]) + len(both[1]) - common):
+                    common = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * common >= percent * (len(a) + len(b) - common):
                         keep.append(i)
                 yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
