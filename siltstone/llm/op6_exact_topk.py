@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Rows of a block of candidates and of queries.
-CANDIDATES, QUERIES = 4096, 512
+CANDIDATES, QUERIES = 4096, 1024
+#: Bytes of query vectors that are broadcast; more of them meet the candidates by shuffle, a block at a time.
+BROADCAST = 32 << 20
 #: Dimensions added to the sums at a time.
 DIMS = 16
 EXACT = float(2**53)
@@ -22,7 +24,7 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     """The k best candidates of each query: (query, candidate, score), exact where products fit in 53 bits."""
     order = np.argsort(c_ids, kind="stable")  # so that the first of equal scores has the smaller id
     c_ids, c = c_ids[order], c[order]
-    if len(c) and len(q) and np.abs(q).max() * np.abs(c).max() * q.shape[1] >= EXACT:
+    if c.size and q.size and np.abs(q).max() * np.abs(c).max() * q.shape[1] >= EXACT:
         exact = np.array([[int(x) for x in row] for row in q], object) @ np.array([[int(x) for x in row] for row in c], object).T
         top = 2**63 - 1
         score = np.array([[max(-top, min(top, x)) for x in row] for row in exact], np.int64).reshape(len(q), len(c))
@@ -53,14 +55,24 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def _first(query: np.ndarray, candidate: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query."""
+    order = np.lexsort((candidate, -score, query))
+    query, candidate, score = query[order], candidate[order], score[order]
+    begin = np.flatnonzero(np.diff(query, prepend=query[:1] - 1)) if len(query) else query
+    place = np.arange(len(query)) - np.repeat(begin, np.diff(begin, append=len(query)))
+    keep = place < k
+    return query[keep], candidate[keep], score[keep]
+
+
 def top_inner_products(df: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k best rows for each query row.
 
     Components become floor(scale * x) and scores are their integer inner products. Rows with a null key, or a vector
     that is null or holds a null or non-finite component, take no part; a query's own key is no candidate for it; only
-    vectors of as many dimensions are compared. Ties go to the smaller key; repeated rows are candidates each. Queries and
-    candidates meet in blocks of bounded size, so no task holds more than one block of each, and each block gives k rows a
-    query at most. Scores beyond a long are the nearest long.
+    vectors of as many dimensions are compared. Ties go to the smaller key; repeated rows are candidates each. Queries
+    whose vectors fit in BROADCAST bytes go to every task, which keeps the k best of each; more of them meet the candidates
+    by shuffle in blocks of bounded size. Scores beyond a long are the nearest long.
     """
     x = F.transform(F.col(f"`{vector}`"), lambda v: F.floor(v.cast("double") * scale).cast("double"))
     bad = F.exists(F.col(f"`{vector}`"), lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
@@ -96,13 +108,39 @@ def top_inner_products(df: DataFrame, is_query: Column, k: int = 10, key: str =
                 a, b, s = _search(q_ids, np.frombuffer(r["q_x"], "<f8").reshape(len(q_ids), r["dim"]), c_ids, np.frombuffer(r["x"], "<f8").reshape(len(c_ids), r["dim"]), k)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
 
-    fields = "dim int, n int, ids binary, x binary"
-    blocks = rows.select("id", "x", "dim").mapInArrow(pack(CANDIDATES), fields)
-    asked = rows.filter("q").select("id", "x", "dim").coalesce(64).mapInArrow(pack(QUERIES), fields)
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = (np.empty(0, np.int64),) * 3
+        for big in batches:
+            for at in range(0, big.num_rows, CANDIDATES):
+                batch = big.slice(at, CANDIDATES)
+                ids, dim = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                for d in np.unique(dim):
+                    if d not in held.value:
+                        continue
+                    some = np.flatnonzero(dim == d)
+                    x = batch.column(1).take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
+                    q_ids, q = held.value[d]
+                    for b in range(0, len(q_ids), QUERIES):
+                        new = _search(q_ids[b : b + QUERIES], q[b : b + QUERIES], ids[some], x, k)
+                        best = _first(*(np.concatenate(z) for z in zip(best, new)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(z) for z in best], names=["query_id", "vec_id", "score"])
+
+    found = "query_id long, vec_id long, score long"
+    asked = rows.filter("q").select("id", "x", "dim")
+    there = asked.agg(F.count("*").alias("n"), F.sum("dim").alias("numbers")).first()
     # a stated query set against all rows, block by block
-    met = blocks.join(asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x")), F.col("dim") == F.col("q_dim"))
-    met = met.select("dim", "ids", "x", "q_ids", "q_x").repartition(F.xxhash64("ids", "q_ids"))
-    best = met.mapInArrow(pairs, "query_id long, vec_id long, score long")
+    if 8 * (there["numbers"] or 0) <= BROADCAST:
+        got = asked.toArrow()
+        dim = got.column("dim").to_numpy()
+        own = {int(d): got.filter(pa.array(dim == d)) for d in np.unique(dim)}
+        held = df.sparkSession.sparkContext.broadcast({d: (t.column("id").to_numpy(), t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, d)) for d, t in own.items()})
+        best = rows.select("id", "x", "dim").mapInArrow(scan, found)
+    else:
+        fields, turns = "dim int, n int, ids binary, x binary", -(-there["n"] // QUERIES)
+        blocks = rows.select("id", "x", "dim").mapInArrow(pack(CANDIDATES), fields).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+        asked = asked.mapInArrow(pack(QUERIES), fields).select(F.pmod(F.xxhash64("ids"), F.lit(turns)).cast("int").alias("turn"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+        met = blocks.join(asked, "turn").filter("dim = q_dim").select("dim", "ids", "x", "q_ids", "q_x")
+        best = met.mapInArrow(pairs, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
