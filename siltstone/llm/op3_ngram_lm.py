@@ -99,7 +99,7 @@ class EliasFano:
         high = (values >> self.shift).astype(np.int64)
         lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
         hi = self._select(high, False) - high
-        return search(self.lows, lo, hi, values & ((np.uint64(1) << self.shift) - np.uint64(1)))
+        return search(self.lows, lo, hi, values & np.uint64((1 << int(self.shift)) - 1))
 
 
 def search(value_at, lo: np.ndarray, hi: np.ndarray, wanted: np.ndarray) -> np.ndarray:
