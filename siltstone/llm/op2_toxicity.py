@@ -90,13 +90,19 @@ class Kernel:
     """Normalised kernel values between words and a fixed list of landmarks."""
 
     def __init__(self, landmarks: list[str]):
-        self.landmarks = landmarks
+        self.landmarks = landmarks = [self._edged(w) for w in landmarks]
         self.flat = [ord(c) for w in landmarks for c in w]
         self.edges = list(np.cumsum([len(w) for w in landmarks]))
         self.own = np.array([_self([w])[0] for w in landmarks])
 
+    @staticmethod
+    def _edged(word: str) -> str:
+        """With a letter for its beginning and one for its end, so that a beginning is like other beginnings."""
+        return f"\x02{word}\x03"
+
     def __call__(self, words: list[str], block: int = 4096) -> np.ndarray:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
+        words = [self._edged(w) if len(w) >= N else w for w in words]
         order = sorted((k for k in range(len(words)) if len(words[k]) >= N), key=lambda k: len(words[k]))
         for at in range(0, len(order), block):
             some = order[at : at + block]
@@ -122,11 +128,17 @@ def _inverse_root(gram: np.ndarray) -> np.ndarray:
     return (vector[:, keep] / np.sqrt(value[keep])) @ vector[:, keep].T
 
 
+#: Margins are told apart at these values; what lies below the first counts as no sign of toxicity.
+LEVELS = np.array([-0.4, 0.0, 0.4, 0.8])
+KINDS = len(LEVELS)
+
+
 class Model:
-    """Margins of words and scores of documents."""
+    """Margins of words, and scores of documents from how many of their words reach which margin."""
 
-    def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float, slope: float, shift: float):
-        self.kernel, self.weights, self.bias, self.slope, self.shift = kernel, weights, bias, slope, shift
+    def __init__(self, kernel: Kernel, weights: np.ndarray, bias: float):
+        self.kernel, self.weights, self.bias = kernel, weights, bias
+        self.worth, self.cost, self.slope, self.shift = np.zeros(KINDS), 0.0, 1.0, -4.0
 
     def margins(self, words: list[str]) -> np.ndarray:
         """Of words given by their letters; a long word has the largest margin of its overlapping pieces."""
@@ -144,47 +156,79 @@ class Model:
             np.maximum.at(out, of, _both(self.kernel(pieces)) @ self.weights + self.bias)
         return out
 
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def evidence(self, counts: np.ndarray) -> np.ndarray:
+        """Log likelihood ratio of documents, given as Scorer.counts gives them, if signs of each level come at Poisson rates."""
+        return counts[:, :KINDS] @ self.worth - counts[:, KINDS] * self.cost
+
+    def score(self, counts: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(self.evidence(counts), -60, 60) + self.shift, -30, 30)))
+
+    def calibrate(self, counts: np.ndarray, toxic: np.ndarray) -> None:
+        """Rates of each level in toxic and in clean documents, then a logistic curve; counts are of documents not trained on."""
+        bad, good = counts[toxic > 0].sum(0), counts[toxic == 0].sum(0)
+        t, c = ((x[:KINDS] + 0.5) / (x[KINDS] + 100) for x in (bad, good))
+        self.worth, self.cost = np.maximum.accumulate(np.maximum(np.log(t / c), 0)), float(max(0.0, (t - c).sum()))
+        x = np.c_[np.clip(self.evidence(counts), -60, 60) / 10, np.ones(len(counts))]
+        beta = np.array([5.0, np.log((toxic.sum() + 0.5) / ((toxic == 0).sum() + 0.5))])
+        loss = lambda b: np.logaddexp(0, np.where(toxic > 0, -1, 1) * (x @ b)).sum() + 0.05 * b[0] ** 2
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-x @ beta))
+            g = x.T @ (p - toxic) + [0.1 * beta[0], 0]
+            h = (x.T * (p * (1 - p))) @ x + np.diag([0.1, 1e-6])
+            step = np.linalg.solve(h, g)
+            while loss(beta - step) > loss(beta) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            beta = beta - step
+            if np.abs(step).max() < 1e-6:
+                break
+        # where both labels are as likely, the score is 0.7
+        self.slope, self.shift = max(0.05, float(beta[0]) / 10), float(beta[1]) + float(np.log(0.7 / 0.3))
 
 
 class Scorer:
-    """Largest margin of each text; keeps the margins of each distinct word it has met."""
+    """Counts signs of toxicity in texts; keeps the margins of each distinct word it has met."""
 
     def __init__(self, model: Model):
         self.model = model
         self._empty()
 
     def _empty(self) -> None:
-        self.ids, self.margin, self.single = Ids(), Grown(np.float32), Grown(bool)
+        self.ids, self.level, self.single = Ids(), Grown(np.int8), Grown(bool)
+
+    def _levels(self, words: list[str]) -> np.ndarray:
+        forms = Ids()
+        which = forms.of(words)
+        return np.searchsorted(LEVELS, self.model.margins(list(forms)), "right")[which]
 
-    def worst(self, texts: list[str | None]) -> np.ndarray:
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """For each text its words at each level, and all its words; a word that comes n times counts 1 + log2(n)."""
         if len(self.ids) > WORDS_KEPT:
             self._empty()
         raw = [t.encode("utf-8").lower().split() if t else [] for t in texts]
         rows = [self.ids.of(r) for r in raw]
-        new = [letters(w.decode("utf-8")) for w in islice(self.ids, self.margin.n, None)]
+        new = [letters(w.decode("utf-8")) for w in islice(self.ids, self.level.n, None)]
         if new:
-            forms = Ids()
-            which = forms.of(new)
-            self.margin.extend(self.model.margins(list(forms)).astype(np.float32)[which])
+            self.level.extend(self._levels(new).astype(np.int8))
             self.single.extend(np.fromiter((len(w) == 1 for w in new), bool, len(new)))
-        margin, single = self.margin.view, self.single.view
-        out = np.full(len(texts), self.model.bias)
+        level, single = self.level.view, self.single.view
+        out = np.zeros((len(texts), KINDS + 1))
         spelled, of = [], []
         for k, ids in enumerate(rows):
             if not len(ids):
                 continue
-            out[k] = margin[ids].max()
+            word, n = np.unique(ids, return_counts=True)
+            weight = 1 + np.log2(n)
+            found = np.bincount(level[word], weight, minlength=KINDS + 1)
+            out[k, :KINDS], out[k, KINDS] = found[1:], weight.sum()
             alone = np.flatnonzero(np.diff(np.concatenate([[0], single[ids].view(np.int8), [0]])))
             for a, b in zip(alone[::2], alone[1::2]):
                 if b - a >= N:  # letters with white space between them
                     spelled.append("".join(letters(w.decode("utf-8")) for w in raw[k][a:b]))
                     of.append(k)
         if spelled:
-            forms = Ids()
-            which = forms.of(spelled)
-            np.maximum.at(out, of, self.model.margins(list(forms))[which])
+            at = self._levels(spelled)
+            some = at > 0
+            np.add.at(out, (np.array(of)[some], at[some] - 1), 1)
         return out
 
 
@@ -215,10 +259,32 @@ def _variants(word: str, rng: random.Random) -> list[str]:
     return [*out, word[:k] + word[k] + word[k:]]
 
 
-def fit(texts: list[str], toxic: list[int], landmarks: int = 32, seed: int = 7) -> Model:
-    """Trains on texts and their labels; without toxic examples every score is near 0."""
+def fit(texts: list[str], toxic: list[int], landmarks: int = 40, seed: int = 7) -> Model:
+    """Trains on texts and their labels; without toxic examples every score is near 0.
+
+    Rates and curve come from margins that models of one half of the texts give to the other half.
+    """
     same: dict[str, str] = {}  # one object for each word
     bags = [{same.setdefault(w, w) for s in SENTENCE.split(t) for w in map(letters, s.split()) if len(w) >= N} for t in texts]
+    label = np.array(toxic, float)
+    model = _machine(bags, toxic, landmarks, seed)
+    if model is None:
+        return Model(Kernel(["aaa"]), np.zeros(2), -1.0)
+    half = np.fromiter((crc32(t.encode("utf-8", "replace")) & 1 for t in texts), np.int64, len(texts))
+    counts = np.zeros((len(texts), KINDS + 1))
+    for h in (0, 1):
+        own, other = np.flatnonzero(half == h), np.flatnonzero(half != h)
+        part = _machine([bags[k] for k in own], [toxic[k] for k in own], landmarks, seed) or model
+        scorer = Scorer(part)
+        for at in range(0, len(other), 200):
+            some = other[at : at + 200]
+            counts[some] = scorer.counts([texts[k] for k in some])
+    model.calibrate(counts, label)
+    return model
+
+
+def _machine(bags: list[set[str]], toxic: list[int], landmarks: int, seed: int) -> Model | None:
+    """The support vector machine over words; None if no word tells toxic documents from others."""
     n_toxic = sum(toxic)
     # near copies share their least word hash, and a word counts once for each
     df = (Counter(), Counter())
@@ -236,7 +302,7 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 32, seed: int = 7)
     worth = {w: n * np.log((n + 0.5) / (df[0][w] + 0.5)) for w, n in df[1].items() if n >= least and n > 8 * df[0][w]}
     cover = sorted(worth, key=lambda w: (-worth[w], w))[:600]
     if not cover:
-        return Model(Kernel(["aaa"]), np.zeros(2), -1.0, 1.0, -4.0)
+        return None
     rng = random.Random(seed)
     common = [w for w, _ in sorted(df[0].items(), key=lambda x: (-x[1], x[0]))][:3000]
     rest = sorted(set(df[0]) - set(common) - set(cover))
@@ -265,39 +331,22 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = 32, seed: int = 7)
     pull = 0.5 * pull / pull.sum() + 0.5 / len(positive)
     hard: list[str] = []
     taken = set(positive)
-    every = [w for w in {*df[0]} if w not in taken and len(w) <= LONGEST]
-    every.sort()
+    every = sorted(w for w in df[0] if w not in taken and len(w) <= LONGEST and df[1][w] <= 8 * df[0][w])
     shared = _both(kernel(every))
     known = _both(kernel(positive))
     for _ in range(4):
-        negative = [*dict.fromkeys([*clean, *hard])]
-        negative = [w for w in negative if w not in taken]
+        negative = [w for w in dict.fromkeys([*clean, *hard]) if w not in taken]
         x = np.vstack([known, _both(kernel(negative))]) @ root
         y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
         w, b = _svm(x, y, np.r_[pull, np.full(len(negative), 1 / len(negative))] * 2000)
         alpha = root @ w
         top = np.argsort(-(shared @ alpha), kind="stable")[:1500]
-        more = [every[k] for k in top if every[k] not in hard]
+        met_before = set(hard)
+        more = [every[k] for k in top if every[k] not in met_before]
         if not more:
             break
         hard += more
-    model = Model(kernel, alpha, b, 1.0, 0.0)
-    margin = Scorer(model).worst(texts)
-    label = np.array(toxic, float)
-    # Platt scaling, slightly shrunk
-    beta = np.array([4.0, -2.0])
-    a = np.c_[np.clip(margin, -3, 3), np.ones(len(margin))]
-    balance = np.where(label > 0, 0.5 / max(1, n_toxic), 0.5 / max(1, len(label) - n_toxic)) * 200
-    for _ in range(60):
-        p = 1 / (1 + np.exp(-a @ beta))
-        g = a.T @ (balance * (p - label)) + 0.1 * beta * [1, 0]
-        h = (a.T * (balance * p * (1 - p))) @ a + np.diag([0.1, 1e-6])
-        step = np.linalg.solve(h, g)
-        beta = beta - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    model.slope, model.shift = max(0.1, float(beta[0])), float(beta[1])
-    return model
+    return Model(kernel, alpha, b)
 
 
 def train(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 4000) -> Model:
@@ -310,8 +359,8 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "to
 def score_toxicity(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7) -> DataFrame:
     """Adds score (0 to 1) and predicted (1 if score >= threshold) to each row.
 
-    A text's score is that of its worst word, spelled-out words included; null, empty and wordless texts get the score of
-    a clean text. Each row is scored by itself, so ties and repeated rows agree. Columns named like an output are replaced.
+    A text's score weighs how many of its words, spelled-out ones included, the machine finds toxic, and how surely,
+    against how many it has; null, empty and wordless texts get the score that says nothing is known. Each row is scored by itself, so ties and repeated rows agree. Columns named like an output are replaced.
     """
     keep = [f for f in df.schema.fields if f.name not in ("score", "predicted")]
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -321,7 +370,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", threshold: f
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
-                score = scorer.model.score(scorer.worst(batch.column(batch.num_columns - 1).to_pylist()))
+                score = scorer.model.score(scorer.counts(batch.column(batch.num_columns - 1).to_pylist()))
                 cols = [*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in keep), "score", "predicted"])
 
