@@ -6,9 +6,12 @@
    into a sketch need t of themselves: no chance there). So, with a sketch's values in order of how many sketches hold
    them, rarest first, they share one of the first size - c + 1, and only these go to the inverted lists: what many
    different documents have in common is not what lists are made of.
-3. Each list first links its documents to its hub, the one whose values are the most common. What lists still hold in
-   several components is compared block by block, pairs within a component left out.
-4. Pairs pass if their union's bottom k holds c common values, and become links if the exact Jaccard reaches t.
+3. Each list has a hub, the one of its documents whose values are the most common. Documents are paired with the hubs
+   of their lists; pairs pass if their union's bottom k holds c common values, and become links if the exact Jaccard
+   reaches t.
+4. Documents that share a list share its hub. Where a hub's documents are still in several components, those outside the
+   hub's component are compared with all the others, block by block: a block pair's exact intersections are a matrix
+   product, and it gives no more links than it takes to join its components.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from .common import WORDS_KEPT, Grown, Ids, saved, table, words
 from .graph import components
 
 K = 64
-#: Documents of a list compared with as many others at a time.
-BLOCK = 256
+#: Documents of a hub compared with as many others at a time, and columns of a matrix product.
+BLOCK, COLUMNS = 256, 4096
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -162,7 +165,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     A text with fewer than n words is one shingle. Null, empty and wordless texts have n_shingles 0 and are linked with
     nothing; a null id is a component of its own (null, kept). component_id is the least id reachable by links, kept says
     whether it is the row's own; rows that repeat an id with one text agree. Copies are linked through their class, so a
-    class of any size costs a row each. Lists are compared in blocks, so no task holds a whole list.
+    class of any size costs a row each. A hub's documents are compared in blocks, so no task holds all of them.
     """
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     every = saved(sketches(docs, "doc_id", "text", n, k))
@@ -181,26 +184,18 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     lists = saved(lists.select("rep", "n", "popular", F.col("x.v").alias("v")))
     hub = lists.groupBy("v").agg(F.max(F.struct("popular", (-F.col("rep")).alias("rep"), "n")).alias("h"), F.count("*").alias("m")).filter("m > 1")
     near = F.least("n", "h.n") >= threshold * F.greatest("n", "h.n") - 1e-9
-    first = lists.join(hub, "v").withColumn("hub", -F.col("h.rep")).filter(near & (F.col("rep") != F.col("hub"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+    groups = saved(lists.join(hub, "v").select((-F.col("h.rep")).alias("hub"), "rep", near.alias("near")).distinct())
+    first = groups.filter("near and rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
     links = saved(_verified(first, reps, docs, n, k, threshold))
-    so_far = components(links)
-    left = lists.join(so_far.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = left.groupBy("v").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).filter("lo <> hi").select("v", "m")
-    left = left.join(split, "v").join(reps.select("rep", "sketch"), "rep")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    left = left.withColumn("c", F.pmod(F.xxhash64("rep"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    left = left.select("v", F.least("c", "o").alias("x"), F.greatest("c", "o").alias("y"), "c", "rep", "n", "component", "sketch")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _runs(batches, 3):
-            yield from _across(group, k, threshold)
-
-    met = left.repartition("v", "x", "y").sortWithinPartitions("v", "x", "y", "n", "rep").mapInArrow(compare, "a long, b long").distinct()
-    links = saved(links.unionByName(_verified(met, reps, docs, n, k, threshold)))
+    so_far = saved(components(links))
+    of = lambda c: so_far.select(F.col("id").alias(c), F.col("component").alias(f"{c}_component"))
+    left = groups.join(of("rep"), "rep", "left").join(of("hub"), "hub", "left")
+    left = left.select("hub", "rep", F.coalesce("rep_component", "rep").alias("component"), F.coalesce("rep_component", "rep").eqNullSafe(F.coalesce("hub_component", "hub")).alias("inner"))
+    links = saved(links.unionByName(_joined(left, reps, docs, n, threshold)))
     found = components(links).withColumnRenamed("id", "rep")
     classes = reps.select("key", "rep").join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
     out = every.select("doc_id", "key", "n_shingles").join(classes, "key", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -227,32 +222,82 @@ def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _across(group: pa.Table, k: int, t: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of a block pair that lie in different components and whose sketches agree enough."""
-    x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
-    c, rep, n, comp = (group.column(i).to_numpy() for i in ("c", "rep", "n", "component"))
-    own = group.column("sketch").combine_chunks()
-    sketch = [own[i].values.to_numpy() for i in range(len(rep))]
-    ids = Ids()
-    of = [ids.of(s.tolist()) for s in sketch]
-    inc = np.zeros((len(rep), len(ids)), np.float32)
-    for i, s in enumerate(of):
-        inc[i, s] = 1
-    inc = inc[:, inc.sum(0) > 1]
-    common = inc @ inc.T
-    small = np.minimum(n[:, None], n[None, :])
-    fits = small >= t * np.maximum(n[:, None], n[None, :]) - 1e-9
-    fits &= common >= np.where(small < t * (k + 1) - 1, np.ceil(t * small - 1e-9) * 0 + 1, least_common(k, t))
-    fits &= comp[:, None] != comp[None, :]
-    if x != y:
-        fits &= (c[:, None] == x) & (c[None, :] == y)
-    else:
-        fits &= rep[:, None] < rep[None, :]
-    a, b = np.nonzero(fits)
-    keep = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if _enough(sketch[i], sketch[j], n[i], n[j], k, t)]
-    if keep:
-        i, j = np.array(keep).T
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+def _joined(left: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: float) -> DataFrame:
+    """Links (a, b) that join components of hubs' documents: rows of (hub, rep, component, inner: of the hub's component).
+
+    Blocks of the documents that are not inner meet each other and the blocks of those that are. A task holds two blocks.
+    """
+    percent = round(t * 100)
+    many = left.groupBy("hub").agg(F.count_if("inner").alias("g"), F.count_if(~F.col("inner")).alias("o")).filter("o > 0")
+    left = left.join(many.select("hub", F.ceil(F.col("g") / BLOCK).cast("int").alias("gb"), F.ceil(F.col("o") / BLOCK).cast("int").alias("ob")), "hub")
+    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.select("rep", "key"), "rep")
+    left = left.withColumn("c", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("gb")).otherwise(F.col("ob"))).cast("int"))
+    upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    among = F.transform(upto("ob"), lambda d: place(F.least("c", d), F.col("gb") + F.greatest("c", d)))
+    inner = F.when(F.col("gb") > 0, F.transform(upto("gb"), lambda j: place(F.col("c"), j)))
+    places = F.when(F.col("inner"), F.transform(upto("ob"), lambda x: place(x, F.col("c")))).otherwise(F.concat(F.coalesce(inner, F.array().cast("array<struct<x:int,y:int>>")), among))
+    rows = left.join(texts, "rep").withColumn("at", F.explode(places)).select("hub", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "c", "inner", "gb", "rep", "component", "key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles(n)
+        for group in _runs(batches, 3):
+            a, b = _forest(group, shingles, percent)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return rows.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "rep").mapInArrow(run, "a long, b long")
+
+
+def _forest(group: pa.Table, shingles: Shingles, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of a block pair that together join all the components that its links join."""
+    x, y, gb = (group.column(c)[0].as_py() for c in ("x", "y", "gb"))
+    c, inner = group.column("c").to_numpy(), group.column("inner").to_numpy()
+    row = ~inner & (c == x)
+    column = inner if y < gb else ~inner & (c == y - gb)
+    if not row.any() or not column.any():
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    tokens = [words(text) for text in group.column("text").to_pylist()]
+    # an id may have several texts
+    keep = np.fromiter((class_key(t) == key for t, key in zip(tokens, group.column("key").to_pylist())), bool, len(tokens))
+    row, column = np.flatnonzero(row & keep), np.flatnonzero(column & keep)
+    sets = shingles.many(tokens)
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+    doc = np.repeat(np.arange(len(sets)), size)
+    often = times > 1
+    place = (np.cumsum(often) - 1)[value]
+    some = often[value]
+    place, doc = place[some], doc[some]
+    order = np.argsort(place, kind="stable")
+    place, doc = place[order], doc[order]
+    common = np.zeros((len(row), len(column)), np.float32)
+    for at in range(0, int(often.sum()), COLUMNS):
+        lo, hi = np.searchsorted(place, [at, at + COLUMNS])
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[doc[lo:hi], place[lo:hi] - at] = 1
+        common += has[row] @ has[column].T
+    rep, component = group.column("rep").to_numpy(), group.column("component").to_numpy()
+    linked = 100 * common >= percent * (size[row][:, None] + size[column][None, :] - common)
+    linked &= component[row][:, None] != component[column][None, :]
+    i, j = np.nonzero(linked)
+    a, b = row[i], column[j]
+    pair = np.stack([np.minimum(component[a], component[b]), np.maximum(component[a], component[b])])
+    _, first = np.unique(pair, axis=1, return_index=True)
+    above: dict[int, int] = {}
+
+    def top(z: int) -> int:
+        while z in above:
+            z = above[z]
+        return z
+
+    kept = []
+    for k in first.tolist():
+        p, q = top(int(component[a[k]])), top(int(component[b[k]]))
+        if p != q:
+            above[p] = q
+            kept.append(k)
+    return rep[a[kept]], rep[b[kept]]
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
