@@ -2,25 +2,64 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: canonical: other names; the order is the order of precedence.
-_TEXT = """levetiracetam: keppra, lev; lamotrigine: lamictal, ltg
-valproate: valproic acid, sodium valproate, depakote, depakene, divalproex, valproic, vpa
-carbamazepine: tegretol, carbatrol, epitol, cbz; phenytoin: dilantin, phenytek, pht; topiramate: topamax, tpm
-gabapentin: neurontin, gbp; oxcarbazepine: trileptal, oxc; zonisamide: zonegran; lacosamide: vimpat; pregabalin: lyrica
-clonazepam: klonopin; diazepam: valium; lorazepam: ativan; alprazolam: xanax; bupropion: wellbutrin, zyban; sertraline: zoloft
-fluoxetine: prozac; escitalopram: lexapro; citalopram: celexa; venlafaxine: effexor; duloxetine: cymbalta; amitriptyline: elavil
-nortriptyline: pamelor; imipramine: tofranil; desipramine: norpramin; lithium: lithobid, eskalith; risperidone: risperdal
-olanzapine: zyprexa; quetiapine: seroquel; aripiprazole: abilify; ziprasidone: geodon; haloperidol: haldol
-chlorpromazine: thorazine; clozapine: clozaril; methylphenidate: ritalin, concerta; amphetamine: adderall, dexedrine
-atomoxetine: strattera; guanfacine: tenex, intuniv; clonidine: catapres, kapvay; donepezil: aricept; rivastigmine: exelon
-galantamine: razadyne; memantine: namenda; trazodone: desyrel; mirtazapine: remeron; nefazodone: serzone; vilazodone: viibryd
-vortioxetine: brintellix, trintellix; buspirone: buspar; hydroxyzine: atarax, vistaril"""
-
+#: Each drug and the names that stand for it, in order of precedence.
 NAMES: dict[str, list[str]] = {
-    c.strip(): [c.strip(), *(a.strip() for a in rest.split(","))] for c, _, rest in (x.partition(":") for x in _TEXT.replace("\n", ";").split(";"))
+    "levetiracetam": ["levetiracetam", "keppra", "lev"],
+    "lamotrigine": ["lamotrigine", "lamictal", "ltg"],
+    "valproate": ["valproate", "valproic acid", "sodium valproate", "depakote", "depakene", "divalproex", "valproic", "vpa"],
+    "carbamazepine": ["carbamazepine", "tegretol", "carbatrol", "epitol", "cbz"],
+    "phenytoin": ["phenytoin", "dilantin", "phenytek", "pht"],
+    "topiramate": ["topiramate", "topamax", "tpm"],
+    "gabapentin": ["gabapentin", "neurontin", "gbp"],
+    "oxcarbazepine": ["oxcarbazepine", "trileptal", "oxc"],
+    "zonisamide": ["zonisamide", "zonegran"],
+    "lacosamide": ["lacosamide", "vimpat"],
+    "pregabalin": ["pregabalin", "lyrica"],
+    "clonazepam": ["clonazepam", "klonopin"],
+    "diazepam": ["diazepam", "valium"],
+    "lorazepam": ["lorazepam", "ativan"],
+    "alprazolam": ["alprazolam", "xanax"],
+    "bupropion": ["bupropion", "wellbutrin", "zyban"],
+    "sertraline": ["sertraline", "zoloft"],
+    "fluoxetine": ["fluoxetine", "prozac"],
+    "escitalopram": ["escitalopram", "lexapro"],
+    "citalopram": ["citalopram", "celexa"],
+    "venlafaxine": ["venlafaxine", "effexor"],
+    "duloxetine": ["duloxetine", "cymbalta"],
+    "amitriptyline": ["amitriptyline", "elavil"],
+    "nortriptyline": ["nortriptyline", "pamelor"],
+    "imipramine": ["imipramine", "tofranil"],
+    "desipramine": ["desipramine", "norpramin"],
+    "lithium": ["lithium", "lithobid", "eskalith"],
+    "risperidone": ["risperidone", "risperdal"],
+    "olanzapine": ["olanzapine", "zyprexa"],
+    "quetiapine": ["quetiapine", "seroquel"],
+    "aripiprazole": ["aripiprazole", "abilify"],
+    "ziprasidone": ["ziprasidone", "geodon"],
+    "haloperidol": ["haloperidol", "haldol"],
+    "chlorpromazine": ["chlorpromazine", "thorazine"],
+    "clozapine": ["clozapine", "clozaril"],
+    "methylphenidate": ["methylphenidate", "ritalin", "concerta"],
+    "amphetamine": ["amphetamine", "adderall", "dexedrine"],
+    "atomoxetine": ["atomoxetine", "strattera"],
+    "guanfacine": ["guanfacine", "tenex", "intuniv"],
+    "clonidine": ["clonidine", "catapres", "kapvay"],
+    "donepezil": ["donepezil", "aricept"],
+    "rivastigmine": ["rivastigmine", "exelon"],
+    "galantamine": ["galantamine", "razadyne"],
+    "memantine": ["memantine", "namenda"],
+    "trazodone": ["trazodone", "desyrel"],
+    "mirtazapine": ["mirtazapine", "remeron"],
+    "nefazodone": ["nefazodone", "serzone"],
+    "vilazodone": ["vilazodone", "viibryd"],
+    "vortioxetine": ["vortioxetine", "brintellix", "trintellix"],
+    "buspirone": ["buspirone", "buspar"],
+    "hydroxyzine": ["hydroxyzine", "atarax", "vistaril"],
 }
 
 
@@ -53,24 +92,23 @@ def search_terms(term: Column) -> Column:
     return F.when(c == "", F.array().cast("array<string>")).otherwise(_lookup(c, NAMES, F.array(c)))
 
 
-def first_named(text: Column) -> Column:
-    """The first drug, in order of precedence, one of whose names is a substring of the (lower-cased) text."""
-    found = F.coalesce(*[F.when(_any(text, names), F.lit(c)) for c, names in NAMES.items()])
-    return found
+def contains_any(text: Column, terms: list[str], whole_words: bool = False) -> Column:
+    """Whether one of the terms is a substring of the text or, if asked for, one of its words."""
+    if whole_words:
+        return text.rlike(r"(?U)\b(?:" + "|".join(terms) + r")\b")
+    return reduce(lambda a, t: a | text.contains(t), terms, F.lit(False))
 
 
-def _any(text: Column, terms: list[str]) -> Column:
-    out = F.lit(False)
-    for t in terms:
-        out = out | text.contains(t)
-    return out
+def first_named(text: Column, whole_words: bool = False) -> Column:
+    """The first drug, in order of precedence, one of whose names is in the (lower-cased) text."""
+    return F.coalesce(*[F.when(contains_any(text, names, whole_words), F.lit(c)) for c, names in NAMES.items()])
 
 
 def expand(query: Column) -> Column:
     """The query followed by every name of every drug that it names, each once, all by single spaces."""
     q = normal(query)
     parts = [query]
-    for c, names in NAMES.items():
+    for names in NAMES.values():
         more = [F.when(q != a, F.lit(a)) for a in names]
-        parts.append(F.when(_any(q, names), F.concat_ws(" ", *more)))
+        parts.append(F.when(contains_any(q, names), F.concat_ws(" ", *more)))
     return F.concat_ws(" ", *parts)

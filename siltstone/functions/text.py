@@ -10,16 +10,57 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FLAGS = "(?iumdU)"
+
+#: What is rewritten, in this order. UNITS and VITALS stand for steps that a plain replacement can't take.
+UNITS, VITALS = "units", "vitals"
+RULES: list[tuple[str, str]] = [
+    # redaction
+    (r"\*{2}[/-]\*{2}[/-]\*{4}", "[DATE-REDACTED]"),
+    (r"\*{3,}", "[REDACTED]"),
+    (r"(?<=\w)\[(?:REDACTED|DATE-REDACTED)\](?=\w)", " [REDACTED] "),
+    # blanks and dashes
+    (r"[\u00A0\u2000-\u200B\u202F\u2060]+", " "),
+    (r"[\u2013\u2014]+", "-"),
+    # question marks that separate
+    (r"^\s*\?+\s*$", ""),
+    (r"(\s)\?(\s)", "\n"),
+    (r"\?{2,}(?!\w)", ""),
+    # bullets
+    (r"^[\u2022\u25AA\u25CF>\-]\s*", ""),
+    # units and ratios
+    (UNITS, ""),
+    (r"(\d+)\s*(mg)\s*/\s*(\d+)\s*(ml)\b", "$1 $2/$3 $4"),
+    # headings: a line ends after the colon. Anchored on it, so that the letters before it are looked at once
+    (r":(?<=[A-Za-z][A-Za-z/\s]{2,64}:)\s*", ":\n"),
+    (VITALS, ""),
+    # frequencies and routes
+    (r"\bBID\b", "BID (twice daily)"),
+    (r"\bTID\b", "TID (three times daily)"),
+    (r"\bQID\b", "QID (four times daily)"),
+    (r"\bQD\b", "QD (once daily)"),
+    (r"\bQHS\b", "QHS (at bedtime)"),
+    (r"\bQ(\d+)H\b", "Q$1H (every $1 hours)"),
+    (r"\bPRN\b", "PRN (as needed)"),
+    (r"\bPO\b", "PO (by mouth)"),
+    (r"\bIV\b", "IV (intravenous)"),
+    (r"\bSQ\b", "SQ (subcutaneous)"),
+    (r"\bIM\b", "IM (intramuscular)"),
+    (r"\bmIVF\b", "mIVF (intravenous fluids)"),
+    (r"Take\s+(\d+)\s+tablet\s*\((\d+\s*mg)\s+total\)", "Take $1 tablet of $2"),
+    # white space
+    (r"[ \t]+$", ""),
+    (r"\n{3,}", "\n\n"),
+    (r"[^\S\n]{2,}", " "),
+]
+#: Units in lower case, and abbreviations that keep their upper case.
+UNIT_NAMES = ("mg", "mcg", "ml", "g", "l", "mcl")
 KEPT_UPPER = ("PO", "IV", "IM", "SQ", "PRN", "XR", "ER", "CR", "SR", "BID", "TID", "QID", "QD", "QHS", "QOD", "BP", "HR", "RR")
-_NOTED = {
-    "BID": "twice daily", "TID": "three times daily", "QID": "four times daily", "QD": "once daily", "QHS": "at bedtime", r"Q(\d+)H": "every $1 hours", "PRN": "as needed",
-    "PO": "by mouth", "IV": "intravenous", "SQ": "subcutaneous", "IM": "intramuscular", "mIVF": "intravenous fluids",
-}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Unicode NFKC, which Spark has no function for; Arrow does it for a batch at a time."""
     return pc.utf8_normalize(pa.array(s, pa.string()), form="NFKC").to_pandas()
@@ -35,31 +76,24 @@ def line_ends(text: Column, tab: str = "    ") -> Column:
     return F.replace(t, F.lit("\t"), F.lit(tab))
 
 
+def _units(text: Column) -> Column:
+    """A space between number and unit, the unit in lower case; a unit ends at a word's end, so at most one fits."""
+    for unit in UNIT_NAMES:
+        text = _sub(text, rf"(\d+)\s*{unit}\b", f"$1 {unit}")
+    return text
+
+
+def _vitals(text: Column) -> Column:
+    """Bars to full stops, on lines of vital signs only."""
+    told = lambda line: line.rlike(r"(?iuU)\bBP\b") & line.rlike(r"(?iuU)\bPulse\b") & line.contains("|")
+    return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(told(x), F.replace(x, F.lit(" | "), F.lit(". "))).otherwise(x)), "\n")
+
+
 def apply_rules(text: Column) -> Column:
-    """The ordered rewrites: redaction marks, blanks and dashes, separators, bullets, units, headings, vitals, annotations."""
-    t = _sub(text, r"\*\*[-/]\*\*[-/]\*{4}", "[DATE-REDACTED]")
-    t = _sub(t, r"\*\*\*+", "[REDACTED]")
-    t = _sub(t, r"(?<=\w)\[(?:DATE-)?REDACTED\](?=\w)", " [REDACTED] ")
-    t = _sub(t, "[  -​ ⁠]+", " ")
-    t = _sub(t, "[–—]+", "-")
-    t = _sub(t, r"^\s*\?+\s*$", "")
-    t = _sub(t, r"\s\?\s", "\n")
-    t = _sub(t, r"\?{2,}(?!\w)", "")
-    t = _sub(t, "^[•▪●>-]\\s*", "")
-    # longer units first; a unit ends at a word boundary, so at most one fits
-    for unit in ("mcl", "mcg", "mg", "ml", "g", "l"):
-        t = _sub(t, rf"(\d+)\s*{unit}\b", f"$1 {unit}")
-    t = _sub(t, r"(\d+)\s*(mg)\s*/\s*(\d+)\s*(ml)\b", "$1 $2/$3 $4")
-    # anchored on the colon: the letters before it are looked at once
-    t = _sub(t, r":(?<=[A-Za-z][A-Za-z/\s]{2,64}:)\s*", ":\n")
-    vitals = lambda line: line.rlike(r"(?iuU)\bBP\b") & line.rlike(r"(?iuU)\bPulse\b") & line.contains("|")
-    t = F.array_join(F.transform(F.split(t, "\n"), lambda x: F.when(vitals(x), F.replace(x, F.lit(" | "), F.lit(". "))).otherwise(x)), "\n")
-    for short, meaning in _NOTED.items():
-        t = _sub(t, rf"\b{short}\b", f"{short.replace(r'(\d+)', '$1')} ({meaning})")
-    t = _sub(t, r"take\s+(\d+)\s+tablet\s*\((\d+\s*mg)\s+total\)", "Take $1 tablet of $2")
-    t = _sub(t, r"[ \t]+$", "")
-    t = _sub(t, r"\n{3,}", "\n\n")
-    return _sub(t, r"[^\S\n]{2,}", " ")
+    """All rewrites, one after another."""
+    for pattern, by in RULES:
+        text = _units(text) if pattern == UNITS else _vitals(text) if pattern == VITALS else _sub(text, pattern, by)
+    return text
 
 
 def repair_case(text: Column) -> Column:
@@ -68,7 +102,7 @@ def repair_case(text: Column) -> Column:
     fix = lambda w: (
         F.when(~w.rlike(r"^\p{L}+$"), w).when(F.array_contains(known, F.upper(w)), F.upper(w)).when((w != F.lower(w)) & (w != F.upper(w)), F.lower(w)).otherwise(w)
     )
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(?U)(\w+|\W+)"), F.lit(1)), fix), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"), F.lit(1)), fix), "")
 
 
 def strip(text: Column) -> Column:
@@ -77,24 +111,29 @@ def strip(text: Column) -> Column:
 
 
 def tidy(text: Column) -> Column:
-    """Lines without trailing blanks, at most one empty line in a row, none at either end."""
-    t = F.regexp_replace(text, r"(?U)[^\S\n]+(?=\n|\z)", "")
+    """Lines without trailing spaces, at most one empty line in a row, none at either end."""
+    t = F.regexp_replace(text, r"[ \u00A0]+(?=\n|\z)", "")
     return strip(F.regexp_replace(t, "\n{3,}", "\n\n"))
 
 
-def normalise(text: Column, unicode: bool = True) -> Column:
+def clean(text: Column) -> Column:
+    """The chain after Unicode normalisation."""
+    return tidy(repair_case(apply_rules(line_ends(text))))
+
+
+def normalise(text: Column | str, unicode: bool = True) -> Column:
     """The whole chain; null becomes empty."""
     t = F.coalesce(text, F.lit(""))
-    return tidy(repair_case(apply_rules(line_ends(nfkc(t) if unicode else t))))
+    return clean(nfkc(t) if unicode else t)
 
 
-def minimal(text: Column, unicode: bool = True) -> Column:
+def minimal(text: Column | str, unicode: bool = True) -> Column:
     """The light variant: NFKC, LF, tabs to a space, no blanks at line ends."""
     t = F.coalesce(text, F.lit(""))
     t = line_ends(nfkc(t) if unicode else t, " ")
-    return F.regexp_replace(t, r"(?U)[^\S\n]+(?=\n|\z)", "")
+    return F.regexp_replace(t, r"[ \u00A0]+(?=\n|\z)", "")
 
 
-def tokens(text: Column) -> Column:
-    """Runs of word characters of the lower-cased text."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+def tokens(text: Column | str) -> Column:
+    """Runs of letters, digits and underscores of the lower-cased text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHARS, SOURCES = 1800, 8
+#: What an answer without sources says, and what the prompt asks for.
 MISSING = "Not found in chart."
+ASK = "- A direct answer in 2\u20136 sentences.\n- Use bracketed numeric citations like [1], [2] that map to Sources.\n- If information is not present, say 'Not found in chart.'\n"
 
 
 def contexts(results: DataFrame) -> DataFrame:
@@ -23,12 +25,14 @@ def contexts(results: DataFrame) -> DataFrame:
 def prompt(question: Column, patient: Column, context: Column, sources: Column) -> Column:
     """The user's prompt: question, patient if known, context, instructions, sources."""
     who = F.when(patient.isNotNull() & (patient != ""), F.concat(F.lit("Patient ID: "), patient, F.lit("\n"))).otherwise(F.lit(""))
-    ask = "- A direct answer in 2–6 sentences.\n- Use bracketed numeric citations like [1], [2] that map to Sources.\n- If information is not present, say 'Not found in chart.'\n"
-    return F.concat(F.lit("Question: "), question, F.lit("\n"), who, F.lit("\nContext:\n"), context, F.lit("\n\nReturn:\n" + ask + "\nSources:\n"), sources)
+    return F.concat(F.lit("Question: "), question, F.lit("\n"), who, F.lit("\nContext:\n"), context, F.lit("\n\nReturn:\n" + ASK + "\nSources:\n"), sources)
 
 
 def stub(prompt_text: Column) -> Column:
-    """The first context block as an answer, with a citation; without one, the fixed refusal."""
+    """What follows the first [1] after `Context:`, up to [2] or the end, with a citation; without one, the fixed refusal.
+
+    With an empty context that is the instruction's own [1], as the definition has it.
+    """
     inside = F.regexp_extract(prompt_text, r"(?s)Context:\s*(.*?)(?=\n\nReturn:|\z)", 1)
     first = F.regexp_extract(F.regexp_replace(inside, r"(?U)^\s+|\s+\z", ""), r"(?s)\[1\]\s*(.*?)(?=\n\n\[2\]|\z)", 1)
     found = F.regexp_replace(first, r"(?U)^\s+|\s+\z", "")

@@ -60,29 +60,27 @@ def split_list(text: Column, sep: str = "\\|") -> Column:
 OPTIONAL = {"medication_dosage": "string", "intake_times_per_day": "double", "medication_effectiveness": "string", "seizure_status": "string", "seizure_symptoms": "string"}
 
 
-def chunk_rows(registry: DataFrame) -> DataFrame:
-    """A row per chunk of each registry row. A note is chunked once however many rows carry it; absent optional columns are null."""
+def note_chunks(registry: DataFrame) -> DataFrame:
+    """note_id, chunk_index, chunk_text_full: the chunks of each distinct note, however many rows carry it; null and empty notes have none."""
+    notes = registry.filter("note_text is not null and note_text <> ''").groupBy("note_id").agg(F.min("note_text").alias("note_text"))
+    return notes.select("note_id", F.posexplode(chunks(F.col("note_text"))).alias("chunk_index", "chunk_text_full"))
+
+
+def chunk_rows(registry: DataFrame, notes: DataFrame | None = None) -> DataFrame:
+    """A row per chunk of each registry row; absent optional columns are null.
+
+    notes: what note_chunks gives, perhaps with further columns (such as embedding), which are kept.
+    """
     for c, kind in OPTIONAL.items():
         if c not in registry.columns:
             registry = registry.withColumn(c, F.lit(None).cast(kind))
-    notes = registry.filter("note_text is not null and note_text <> ''").groupBy("note_id").agg(F.first("note_text").alias("note_text")).select("note_id", F.posexplode(chunks(F.col("note_text"))).alias("chunk_index", "chunk_text_full"))
+    notes = note_chunks(registry) if notes is None else notes
+    more = [c for c in notes.columns if c not in ("note_id", "chunk_index", "chunk_text_full")]
     rows = registry.drop("note_text").join(notes, "note_id")
     text = F.col("chunk_text_full")
     return rows.select(
         F.concat_ws("_", "patient_id", "note_date", "row_id", F.lit("chunk"), F.col("chunk_index").cast("string")).alias("chunk_id"), F.col("row_id").alias("source_row_id"), "patient_id", "note_id",
         "note_date", "chunk_index", F.length(text).alias("chunk_char_len"), F.replace(F.substring(text, 1, 240), F.lit("\n"), F.lit(" ")).alias("chunk_preview"), text, "medication",
         "medication_dosage", "intake_times_per_day", "medication_effectiveness", "seizure_status", split_list(F.col("seizure_symptoms")).alias("seizure_symptoms"),
-        F.coalesce(F.col("seizure_status") == "positive", F.lit(False)).alias("has_seizure_info"),
+        F.coalesce(F.col("seizure_status") == "positive", F.lit(False)).alias("has_seizure_info"), *more,
     )
-
-
-def number_rows(df: DataFrame, order: list[str], name: str = "vector_id") -> DataFrame:
-    """Dense 0-based numbers in an order, without a sort in one task: ranks inside range partitions, moved by their sizes."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
-    ranged = ranged.withColumn("__i", F.col("__m").bitwiseAND((1 << 33) - 1))
-    sizes = {r["__p"]: r["n"] for r in ranged.groupBy("__p").agg(F.count("*").alias("n")).collect()}  # a row per partition
-    first, at = {}, 0
-    for p in sorted(sizes):
-        first[p], at = at, at + sizes[p]
-    offset = F.element_at(F.create_map(*[F.lit(x) for kv in first.items() for x in kv]), F.col("__p")) if first else F.lit(0)
-    return ranged.withColumn(name, (F.col("__i") + offset).cast("long")).drop("__p", "__m", "__i")

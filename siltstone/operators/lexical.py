@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..shared import small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -22,23 +23,28 @@ def bm25(queries: DataFrame, scoped: DataFrame, docs: DataFrame, k: int = 200, t
     queries: query_id, scope_id, query; scoped: scope_id, vector_id, distinct; docs: vector_id, text. Statistics are those
     of the scope: idf = ln(N - n + 0.5) - ln(n + 0.5), and where that is negative a quarter of its mean over all terms of
     the scope. A term that a query repeats counts as often. Scores are rounded at 9 digits, ties go to the smaller id.
+    Only the queries' terms are followed through the texts; all terms are counted just in scopes that need the mean.
     """
-    post = scoped.join(postings(docs, text), "vector_id")
-    sizes = scoped.join(docs.select("vector_id", F.size(tokens(F.col(text))).alias("dl")), "vector_id").groupBy("scope_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    df = post.groupBy("scope_id", "term").agg(F.count("*").alias("n")).join(sizes, "scope_id")
-    df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5))
-    mean = df.groupBy("scope_id").agg(F.avg("raw").alias("mean"))
+    words = docs.select("vector_id", tokens(F.col(text)).alias("t"))
+    sizes = scoped.join(words.select("vector_id", F.size("t").alias("dl")), "vector_id").groupBy("scope_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     q = queries.select("query_id", "scope_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "scope_id", "term").agg(F.count("*").alias("times"))
-    q = q.join(df, ["scope_id", "term"]).join(mean, "scope_id")
-    q = q.withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
-    met = post.join(q.select("query_id", "scope_id", "term", "times", "idf", "avgdl"), ["scope_id", "term"])
+    hits = words.select("vector_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(small(q.select("term").distinct()), "term")
+    hits = scoped.join(hits.groupBy("vector_id", "dl", "term").agg(F.count("*").alias("tf")), "vector_id")
+    raw = F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
+    q = q.join(hits.groupBy("scope_id", "term").agg(F.count("*").alias("n")).join(sizes, "scope_id").withColumn("raw", raw), ["scope_id", "term"])
+    common = q.filter("raw < 0").select("scope_id", "n_docs").distinct()
+    every = words.select("vector_id", F.explode(F.array_distinct("t")).alias("term"))
+    mean = scoped.join(common, "scope_id").join(every, "vector_id").groupBy("scope_id", "n_docs", "term").agg(F.count("*").alias("n")).groupBy("scope_id").agg(F.avg(raw).alias("mean"))
+    q = q.join(mean, "scope_id", "left").withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
+    met = hits.join(q.select("query_id", "scope_id", "term", "times", "idf", "avgdl"), ["scope_id", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = met.groupBy("query_id", "vector_id").agg(F.round(F.sum(part), 9).alias("score"))
-    # what no term reaches scores 0: the first 2k of a scope are enough to fill up the k best
-    first = scoped.withColumn("r", F.row_number().over(Window.partitionBy("scope_id").orderBy("vector_id"))).filter(F.col("r") <= 2 * k)
-    rest = queries.select("query_id", "scope_id").join(first, "scope_id").select("query_id", "vector_id").join(scores.select("query_id", "vector_id"), ["query_id", "vector_id"], "left_anti")
-    every = scores.unionByName(rest.withColumn("score", F.lit(0.0)))
-    return ranked(every, "score", k, "rank_lexical").withColumnRenamed("score", "score_lexical")
+    # what no term reaches scores 0: the first 2k of a scope are enough to fill up the k best, unless scores may be negative
+    below = mean.filter("mean < 0").select("scope_id")
+    first = scoped.join(below, "scope_id", "left_anti").withColumn("r", F.row_number().over(Window.partitionBy("scope_id").orderBy("vector_id"))).filter(F.col("r") <= 2 * k).drop("r")
+    fill = first.unionByName(scoped.join(below, "scope_id", "left_semi"))
+    rest = queries.select("query_id", "scope_id").join(fill, "scope_id").select("query_id", "vector_id").join(scores.select("query_id", "vector_id"), ["query_id", "vector_id"], "left_anti")
+    return ranked(scores.unionByName(rest.withColumn("score", F.lit(0.0))), "score", k, "rank_lexical").withColumnRenamed("score", "score_lexical")
 
 
 def ranked(df: DataFrame, score: str, k: int | None, name: str) -> DataFrame:

@@ -82,6 +82,11 @@ def export_summary(queries: DataFrame, results: DataFrame) -> DataFrame:
     return queries.select("query_id").join(r, "query_id", "left").withColumn("num_results", F.coalesce("num_results", F.lit(0)).cast("long"))
 
 
+def type_counts(queries: DataFrame, by: str = "intent_type") -> DataFrame:
+    """How many queries each type has."""
+    return queries.groupBy(by).agg(F.count("*").alias("num_queries"))
+
+
 def patient_summary(registry: DataFrame) -> DataFrame:
     """Per patient: rows, distinct drugs, first and last day, rows by seizure status."""
     return registry.groupBy("patient_id").agg(
@@ -101,16 +106,16 @@ def top_medications(rows: DataFrame, n: int = 10, by: str | None = None) -> Data
 
 
 def registry_totals(registry: DataFrame) -> DataFrame:
-    """One row: rows, distinct patients and drugs, rows with a dosage, rows by outcome."""
+    """One row: rows, distinct patients and drugs, rows with a dosage and with a frequency, rows by outcome."""
     return registry.agg(
-        F.count("*").alias("n_rows"), F.countDistinct("patient_id").alias("n_patients"), F.countDistinct("medication").alias("n_medications"), F.count("medication").alias("n_named"),
+        F.count("*").alias("n_rows"), F.countDistinct("patient_id").alias("n_patients"), F.countDistinct("medication").alias("n_medications"), F.count("medication_dosage").alias("n_dosage"), F.count("intake_times_per_day").alias("n_frequency"),
         *[F.count_if(F.col("medication_effectiveness") == s).alias(f"n_{s}") for s in ("successful", "refractory")],
     )
 
 
 def index_info(chunks: DataFrame) -> DataFrame:
-    """One row: chunks, distinct patients, notes and drugs, chunks with seizure information and their percentage."""
+    """One row: chunks, distinct patients, source rows and drugs, chunks with seizure information and their percentage."""
     return chunks.agg(
-        F.count("*").alias("n_chunks"), F.countDistinct("patient_id").alias("n_patients"), F.countDistinct("note_id").alias("n_notes"), F.countDistinct("medication").alias("n_medications"),
+        F.count("*").alias("n_chunks"), F.countDistinct("patient_id").alias("n_patients"), F.countDistinct("source_row_id").alias("n_source_rows"), F.countDistinct("medication").alias("n_medications"),
         F.count_if("has_seizure_info").alias("n_seizure"), F.round(100 * F.count_if("has_seizure_info") / F.count("*"), 6).alias("pct_seizure"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.aliases import canonical, search_terms
+from ..functions.aliases import canonical, normal, search_terms
 
 ENOUGH, DAYS = 10, 90
 
@@ -17,7 +17,7 @@ def names_match(medication: Column, terms: Column) -> Column:
 
 def _widened(day: Column, days: int) -> Column:
     """An ISO day moved by some days; null if it isn't a day, and then no bound."""
-    return F.date_format(F.date_add(F.try_to_date(day, F.lit("yyyy-MM-dd")), days), "yyyy-MM-dd")
+    return F.date_format(F.date_add(F.try_to_date(day, "yyyy-MM-dd"), days), "yyyy-MM-dd")
 
 
 def scope(queries: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def scope(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     Queries that name a patient meet chunks by hash join on the patient; only the others meet all of them.
     """
     q = queries.select(
-        "query_id", F.nullif(F.col("want_patient_id"), F.lit("")).alias("pid"), F.nullif(F.col("want_medication"), F.lit("")).alias("med"),
+        "query_id", F.nullif(F.col("want_patient_id"), F.lit("")).alias("pid"), F.nullif(normal(F.col("want_medication")), F.lit("")).alias("med"),
         F.nullif(F.col("want_date_start"), F.lit("")).alias("ds"), F.nullif(F.col("want_date_end"), F.lit("")).alias("de"),
     ).withColumn("terms", F.when(F.col("med").isNotNull(), search_terms(F.col("med"))))
     q = q.withColumn("wide_s", _widened(F.col("ds"), -DAYS)).withColumn("wide_e", _widened(F.col("de"), DAYS))
@@ -55,13 +55,14 @@ def scope(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 def filters_applied(queries: DataFrame, scoped: DataFrame) -> DataFrame:
     """query_id and a map of the filters in force, with date_relaxed and medication_dropped where they were."""
     flags = scoped.groupBy("query_id").agg(F.max("date_relaxed").alias("r"), F.max("medication_dropped").alias("d"))
-    pair = lambda name, value: F.when(value.isNotNull() & (value != ""), F.struct(F.lit(name), value))
+    entry = lambda name, value, there: F.when(there, F.struct(F.lit(name).alias("key"), value.alias("value")))
+    pair = lambda name, value: entry(name, value, value.isNotNull() & (value != ""))
     out = queries.join(flags, "query_id", "left")
     entries = F.array_compact(
         F.array(
             pair("patient_id", F.col("want_patient_id")), pair("date_start", F.col("want_date_start")), pair("date_end", F.col("want_date_end")),
             pair("medication", F.when(F.col("want_medication").isNotNull(), canonical(F.col("want_medication")))),
-            F.when(F.col("r"), F.struct(F.lit("date_relaxed"), F.lit("true"))), F.when(F.col("d"), F.struct(F.lit("medication_dropped"), F.lit("true"))),
+            entry("date_relaxed", F.lit("true"), F.col("r")), entry("medication_dropped", F.lit("true"), F.col("d")),
         )
     )
     return out.select("query_id", F.map_from_entries(entries).alias("filters_applied"))
