@@ -5,9 +5,9 @@ Patterns start with flags that give Java the meaning of Unicode classes, line en
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,8 +62,8 @@ KEPT_UPPER = ("PO", "IV", "IM", "SQ", "PRN", "XR", "ER", "CR", "SR", "BID", "TID
 
 @F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark has no function for; Arrow does it for a batch at a time."""
-    return pc.utf8_normalize(pa.array(s, pa.string()), form="NFKC").to_pandas()
+    """Unicode NFKC, which Spark has no function for; most texts have that form and are passed on."""
+    return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
 
 
 def _sub(text: Column, pattern: str, by: str) -> Column:

@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.aliases import expand
+from ..functions.text import tokens
 from ..operators.fusion import audit as audit_rows
 from ..operators.fusion import fuse, match_flags, merge_candidates, overlap_score
 from ..operators.intent import with_intent
 from ..operators.lexical import bm25
 from ..operators.scope import filters_applied, scope
-from ..operators.vector import normalised, scoped_top_k, vector_top_k
-from ..functions.text import tokens
+from ..operators.vector import scoped_top_k, vector_top_k
 from ..shared import saved, small
 
 DIMENSIONS = 64
@@ -58,7 +58,7 @@ class Retrieval:
     merged: DataFrame
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _hashed(terms: pd.Series) -> pd.Series:
     from zlib import crc32
 
@@ -68,13 +68,13 @@ def _hashed(terms: pd.Series) -> pd.Series:
         for t in row:
             h = crc32(t.encode("utf-8"))
             v[h % DIMENSIONS] += 1.0 if h >> 31 else -1.0
-        out.append(v)
+        out.append((v / (np.linalg.norm(v) + 1e-12)).astype(np.float32))
     return pd.Series(out)
 
 
 def hash_embedding(text: Column) -> Column:
     """A stand-in for a trained encoder: signed counts of hashed tokens, of length 1. Not a model's vector."""
-    return normalised(_hashed(tokens(text))).cast("array<float>")
+    return _hashed(tokens(text))
 
 
 def retrieve(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import re
 import zipfile
 from collections.abc import Iterator
@@ -109,6 +110,7 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = MOST_ROW
         for k, df in enumerate(sheets.values(), 1):
             z.writestr(f"xl/worksheets/sheet{k}.xml", _sheet(df, most, widths or {}, widest))
     fs, name = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+    fs.create_dir(os.path.dirname(name), recursive=True)
     with fs.open_output_stream(name) as f:
         f.write(out.getvalue())
     return path
