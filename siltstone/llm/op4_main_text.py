@@ -181,28 +181,17 @@ def main_text(html: str | None) -> str:
         return ""
     root = parse(html)
     order = _measure(root)
-    parts = [n for n in order if n.tag in ("article", "main")]
-    inner = [n for n in parts if n.chars]
-    best = max(order, key=lambda n: n.total)  # the first in page order, if tied
+    best = max(order, key=lambda n: (n.total, n.tag in ("article", "main")))  # the first in page order, if still tied
     if best.total <= 0:
         best = root
     while best.parent is not None and best.tag not in CONTAINERS:  # a paragraph's bold start may outweigh its siblings
         best = best.parent
-    within = best
-    while within is not None and within.tag not in ("article", "main"):
-        within = within.parent
-    if within is None and inner:  # the page names its content: look for the densest part there
-        within = max(inner, key=lambda n: (n.total, n.chars))
-        best = within
     path, node = set(), best
     low = best.density
-    while node is not None and node is not within:
+    while node is not None:
         path.add(id(node))
         low = min(low, node.density) if node.chars and node.tag != "html" else low
         node = node.parent
-    start = within if within is not None else root
-    if within is not None:
-        path.add(id(within))
     out: list[str] = []
     line: list[str] = []
 
@@ -212,7 +201,7 @@ def main_text(html: str | None) -> str:
         if text:
             out.append(text)
 
-    todo: list = [(start, within is not None or start is best)]
+    todo: list = [(root, False)]
     while todo:
         item = todo.pop()
         if item is None:
@@ -228,7 +217,8 @@ def main_text(html: str | None) -> str:
             continue
         if not inside and id(node) not in path and node.density < low and node.tag not in ("h1", "h2", "h3", "h4", "h5", "h6"):
             continue
-        if node is not start and _menu(node) and id(node) not in path:
+        inside = inside or id(node) not in path  # a subtree that reaches the threshold belongs as a whole
+        if node is not root and _menu(node) and id(node) not in path:
             continue
         block = node.tag in BLOCK
         if block:

@@ -42,3 +42,14 @@ def test_all_pages(spark, sf):
     assert len(got) == spark.read.parquet(f"{sf}/pages.parquet").count()
     for r in got:
         assert r.n_chars == len(r.text) and "  " not in r.text and r.text == r.text.strip() and "<p>" not in r.text
+
+
+def test_density_chooses_over_tags():
+    post = "<div class='post'>" + "".join(f"<p>Paragraph {k} of the post is long, much longer than what any teaser beside it has to say to its readers.</p>" for k in range(6)) + "</div>"
+    text = " ".join(f"Paragraph {k} of the post is long, much longer than what any teaser beside it has to say to its readers." for k in range(6))
+    card = "<article class='card'><p>A teaser.</p></article>"
+    assert main_text(page(post + card)).startswith(text)
+    assert main_text(page(card + post)).endswith(text)
+    # inside an article, too, what is thinner than the path to the body stays out
+    thin = "<div>" + "".join(f"<span>t{k}</span>" for k in range(9)) + "</div>"
+    assert main_text(page(f"<article>{post}{thin}</article>")) == text
