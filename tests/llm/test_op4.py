@@ -53,3 +53,28 @@ def test_density_chooses_over_tags():
     # inside an article, too, what is thinner than the path to the body stays out
     thin = "<div>" + "".join(f"<span>t{k}</span>" for k in range(9)) + "</div>"
     assert main_text(page(f"<article>{post}{thin}</article>")) == text
+
+
+def test_names_alone_cut_nothing_of_the_content():
+    for kind in ("class='content has-sidebar'", "id='page-with-comments'"):
+        assert main_text(page(f"<div {kind}>{ARTICLE}</div>")) == WANT, kind
+        assert main_text(page(f"<div {kind}>{ARTICLE}</div><article class='card'><p>A teaser.</p></article>")).startswith(WANT), kind
+    assert main_text(page("<div class='content has-sidebar'>All text of this page<br>without paragraphs</div>")) == "All text of this page without paragraphs"
+    said = "What the part says is a whole sentence of the article, longer than its name."
+    for tag, kind in (("section", "id='discussion'"), ("h2", "id='navigation'"), ("p", "class='notice-period'"), ("div", "class='related-work'")):
+        part = f"<{tag} {kind}>{said}</{tag}>"
+        for frame in ("article", "main", "div"):
+            assert main_text(page(f"{AROUND}<{frame}>{ARTICLE}{part}</{frame}><footer>Foot of it.</footer>")) == f"{WANT} {said}", (tag, frame)
+    assert main_text(page(f"{ARTICLE}<p class='notice-period'>{said}</p>")) == f"{WANT} {said}"
+
+
+def test_form_around_the_page():
+    inner = f"<header>Site</header>{AROUND}%s<input><footer>Copyright</footer>"
+    for frame in ("<article>{}</article>", "<div>{}</div>", "{}"):
+        assert main_text(page(f"<form action='/'>{inner % frame.format(ARTICLE)}</form>")) == WANT, frame
+
+
+def test_links_and_thin_parts_still_go():
+    share = "<div class='share'><a href='#'>Send it to a friend</a> <a href='#'>Print it out on paper</a></div><div class='ad'>Buy</div>"
+    talk = "<section id='comments'>" + "".join(f"<p>Reader {k}: I read all of it and have something rather long to say about it, as always, and more than the article.</p>" for k in range(12)) + "</section>"
+    assert main_text(page(f"<article>{ARTICLE}{share}</article>{talk}")) == WANT
