@@ -131,6 +131,8 @@ def _inverse_root(gram: np.ndarray) -> np.ndarray:
 #: Margins are told apart at these values; what lies below the first counts as no sign of toxicity.
 LEVELS = np.array([-0.4, 0.0, 0.4, 0.8])
 KINDS = len(LEVELS)
+#: Words of a passage that is scored by itself within a longer text.
+PASSAGE = 128
 
 
 class Model:
@@ -160,8 +162,8 @@ class Model:
         """Log likelihood ratio of documents, given as Scorer.counts gives them, if signs of each level come at Poisson rates."""
         return counts[:, :KINDS] @ self.worth - counts[:, KINDS] * self.cost
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(self.evidence(counts), -60, 60) + self.shift, -30, 30)))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(evidence, -60, 60) + self.shift, -30, 30)))
 
     def calibrate(self, counts: np.ndarray, toxic: np.ndarray) -> None:
         """Rates of each level in toxic and in clean documents, then a logistic curve; counts are of documents not trained on."""
@@ -200,8 +202,12 @@ class Scorer:
         which = forms.of(words)
         return np.searchsorted(LEVELS, self.model.margins(list(forms)), "right")[which]
 
-    def counts(self, texts: list[str | None]) -> np.ndarray:
-        """For each text its words at each level, and all its words; a word that comes n times counts 1 + log2(n)."""
+    def counts(self, texts: list[str | None], signs: list | None = None) -> np.ndarray:
+        """For each text its words at each level, and all its words; a word that comes n times counts 1 + log2(n).
+
+        To `signs`, if given, come the number, how many words it has, and the signs' places, words and levels of each text
+        longer than a passage.
+        """
         if len(self.ids) > WORDS_KEPT:
             self._empty()
         raw = [t.encode("utf-8").lower().split() if t else [] for t in texts]
@@ -212,7 +218,7 @@ class Scorer:
             self.single.extend(np.fromiter((len(w) == 1 for w in new), bool, len(new)))
         level, single = self.level.view, self.single.view
         out = np.zeros((len(texts), KINDS + 1))
-        spelled, of = [], []
+        spelled, of, at_word = [], [], []
         for k, ids in enumerate(rows):
             if not len(ids):
                 continue
@@ -225,12 +231,45 @@ class Scorer:
                 if b - a >= N:  # letters with white space between them
                     spelled.append("".join(letters(w.decode("utf-8")) for w in raw[k][a:b]))
                     of.append(k)
+                    at_word.append(a)
+            if signs is not None and len(ids) > PASSAGE:
+                place = np.flatnonzero(level[ids])
+                signs.append((k, len(ids), place, ids[place], level[ids[place]]))
         if spelled:
             at = self._levels(spelled)
             some = at > 0
             np.add.at(out, (np.array(of)[some], at[some] - 1), 1)
+            for i, (k, n, place, word, lev) in enumerate(signs or ()):
+                more = np.flatnonzero(some & (np.array(of) == k))
+                if len(more):  # each a word of its own
+                    places = np.r_[place, np.array(at_word)[more]]
+                    order = np.argsort(places, kind="stable")
+                    signs[i] = (k, n, places[order], np.r_[word, -1 - more][order], np.r_[lev, at[more]][order])
         return out
 
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        """Scores by the whole text or by its most toxic passage, whichever says more.
+
+        A passage begins at a sign. Its evidence is less by the logarithm of how many places it might have had, so a long
+        clean text doesn't gain by its length; it counts if it is positive and beats the whole text's.
+        """
+        signs: list = []
+        out = self.model.evidence(self.counts(texts, signs))
+        worth = np.r_[0.0, self.model.worth]
+        for k, n, place, word, lev in signs:
+            if not len(place):
+                continue
+            fixed = self.model.cost * np.minimum(PASSAGE, n - place) + np.log(n / PASSAGE * 2)
+            end = np.searchsorted(place, place + PASSAGE)
+            total = np.concatenate([[0.0], np.cumsum(worth[lev])])
+            most = total[end] - total[:-1] - fixed  # no repeated word discounted
+            for i in np.argsort(-most, kind="stable"):
+                if most[i] <= max(0.0, out[k]):
+                    break
+                _, first, times = np.unique(word[i : end[i]], return_index=True, return_counts=True)
+                out[k] = max(out[k], found) if (found := float(((1 + np.log2(times)) * worth[lev[i : end[i]][first]]).sum() - fixed[i])) > 0 else out[k]
+        return self.model.score(out)
+
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 20.0) -> tuple[np.ndarray, float]:
     """Linear support vector machine with squared hinge loss, by Newton steps."""
@@ -360,7 +399,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", threshold: f
     """Adds score (0 to 1) and predicted (1 if score >= threshold) to each row.
 
     A text's score weighs how many of its words, spelled-out ones included, the machine finds toxic, and how surely,
-    against how many it has; null, empty and wordless texts get the score that says nothing is known. Each row is scored by itself, so ties and repeated rows agree. Columns named like an output are replaced.
+    against how many it has; so does the most toxic passage of a long text, and the larger evidence counts. Null, empty and wordless texts get the score that says nothing is known. Each row is scored by itself, so ties and repeated rows agree. Columns named like an output are replaced.
     """
     keep = [f for f in df.schema.fields if f.name not in ("score", "predicted")]
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -370,7 +409,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", threshold: f
         for big in batches:
             for at in range(0, big.num_rows, 1000):
                 batch = big.slice(at, 1000)
-                score = scorer.model.score(scorer.counts(batch.column(batch.num_columns - 1).to_pylist()))
+                score = scorer.score(batch.column(batch.num_columns - 1).to_pylist())
                 cols = [*batch.columns[:-1], pa.array(score), pa.array((score >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in keep), "score", "predicted"])
 

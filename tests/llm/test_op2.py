@@ -45,3 +45,14 @@ def test_no_examples(spark):
 
 def test_letters():
     assert letters("Gr4ss!") == "grass" and letters("1234") == "" and letters("i-d.i_o*t") == "idiot"
+
+
+def test_toxic_passage_in_a_long_text(spark):
+    model = fit(texts(), [0] * 60 + [1] * 24)
+    rng = np.random.default_rng(2)
+    clean = " ".join("".join(rng.choice(list("aehint"), rng.integers(4, 9))) for _ in range(20_000))  # few words come twice
+    passage = "you grumblord and snotwaffle , so mudbrained ! s n o t w a f f l e and grumxblord and you mud-brained"
+    middle = clean.index(" ", len(clean) // 2)
+    planted = [clean, clean[:middle] + f" {passage} " + clean[middle:], f"{passage} {clean}", f"{clean} {passage}"]
+    df = spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")
+    assert [r.predicted for r in sorted(score_toxicity(df, model).collect(), key=lambda r: r.doc_id)] == [0, 1, 1, 1]
