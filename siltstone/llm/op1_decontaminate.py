@@ -68,7 +68,8 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float =
         found = d.select("doc_id", F.explode(F.array_distinct(low)).alias("h")).join(retained, "h").select("doc_id", "item_id").distinct()
         met = d.join(found, d["doc_id"].eqNullSafe(found["doc_id"])).drop(found["doc_id"]).join(own, "item_id")
     met = met.select("doc_id", "item_id", "q", F.size(F.array_intersect("s", runs(phrase))).alias("found"))
-    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("found", "q")).alias("b")).filter(F.col("b.found") >= F.col("b.q") * threshold - 1e-9)
+    met = met.filter(F.col("found") >= F.col("q") * threshold - 1e-9)
+    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("found") / F.col("q")).alias("share"), "found", "q")).alias("b"))
     return best.select("doc_id", "item_id", F.col("b.q").cast("long").alias("n_shingles"), F.col("b.found").cast("long").alias("n_found"), (F.col("b.found") / F.col("b.q")).alias("containment"))
 
 

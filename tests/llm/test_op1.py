@@ -53,3 +53,12 @@ def test_dropped_rows_and_empty_tables(spark):
 
 def test_sql(spark, sf):
     assert_same(op1.op1_decontaminate(spark, sf), op1.SQL, sf)
+
+
+def test_repeated_item_ids(spark):
+    long = " ".join(f"w{k}" for k in range(24))  # 20 shingles, of which the document holds 10
+    short = "a b c d e f g h i"  # 5 shingles, all held
+    docs = spark.createDataFrame([(1, f"{short} x {' '.join(long.split()[:14])}")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, long), (7, short)], "item_id long, text string")
+    assert [(r.n_shingles, r.n_found, r.containment) for r in op1.find_items(docs, items).collect()] == [(5, 5, 1.0)]
+    assert op1.drop_contaminated(docs, items).count() == 0
