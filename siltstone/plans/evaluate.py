@@ -47,7 +47,7 @@ def score_report(queries: DataFrame, chunks: DataFrame, settings: Settings = Set
     report = {"Summary": stats.join(queries.select("query_id", "query_type"), "query_id"), "Overall": m.stats_overall(stats, queries), "By Type": m.stats_by_type(stats, queries), "Matrix": m.heat_map(stats), "Export": m.export_summary(queries, results)}
     if out:
         shown = results.select("query_id", "rank", "chunk_id", "patient_id", "note_date", "medication", "score_final", "score_semantic_norm", "score_lexical_norm", "score_ce", F.array_join("seizure_symptoms", "|").alias("symptoms"), "chunk_preview")
-        each = {f"Query {r['query_id']}": shown.filter(F.col("query_id") == r["query_id"]).orderBy("rank") for r in queries.select("query_id").limit(200).collect()}
+        each = {f"Query {r['query_id']}": shown.filter(F.col("query_id") == r["query_id"]).orderBy("rank") for r in queries.select("query_id").collect()}
         write_workbook({**report, **each}, f"{out}/report.xlsx", widths={"chunk_preview": 100})
         write_charts(stats, report["By Type"], report["Overall"], report["Matrix"], results, f"{out}/charts")
     return report

@@ -87,7 +87,9 @@ def _cell(value) -> str:
 
 
 def _sheet(df: DataFrame, most: int, widths: dict[str, int], widest: int) -> str:
-    rows = df.limit(most).collect()  # a report's rows, bounded
+    rows = df.limit(most + 1).collect()  # a report's rows, bounded
+    if len(rows) > most:
+        raise ValueError(f"a sheet holds {most} rows at most, and there are more")
     shown = [[None if v is None else v if isinstance(v, (bool, int, float)) else str(v) for v in r] for r in rows]
     size = [min(widths.get(c, widest), max([len(c), *(len(str(r[k])) for r in shown if r[k] is not None)]) + 2) for k, c in enumerate(df.columns)]
     cols = "".join(f'<col min="{k + 1}" max="{k + 1}" width="{w}" customWidth="1"/>' for k, w in enumerate(size))
@@ -96,7 +98,7 @@ def _sheet(df: DataFrame, most: int, widths: dict[str, int], widest: int) -> str
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = MOST_ROWS - 1, widths: dict[str, int] | None = None, widest: int = 50) -> str:
-    """An .xlsx file with a sheet per DataFrame, `most` rows each at most; columns are as wide as their text, up to `widest`."""
+    """An .xlsx file with a sheet per DataFrame, an error if one has more than `most` rows; columns are as wide as their text, up to `widest`."""
     main, rel = _MAIN[1:-1], "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     package = "http://schemas.openxmlformats.org/package/2006"
     names = [re.sub(r"[\[\]:*?/\\]", " ", n)[:31] for n in sheets]

@@ -84,3 +84,27 @@ def test_stream_appends_batches(spark, tmp_path):
         append_notes(spark, f"{tmp_path}/in", f"{tmp_path}/out").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/registry").count() == 2
     assert spark.read.parquet(f"{tmp_path}/out/chunks").filter("size(embedding) = 64").count() == 2
+
+
+def test_workbook_leaves_no_rows_out(spark, tmp_path):
+    df = spark.range(3)
+    write_workbook({"all": df}, f"{tmp_path}/x.xlsx", most=3)
+    with pytest.raises(ValueError):
+        write_workbook({"more": df}, f"{tmp_path}/y.xlsx", most=2)
+
+
+def test_report_has_a_sheet_for_every_query(spark, tmp_path, monkeypatch):
+    from siltstone.plans import evaluate as e
+
+    class Any:  # stands for every table but the queries
+        def __getattr__(self, name):
+            return lambda *args, **kwargs: self
+
+    sheets = {}
+    monkeypatch.setattr(e, "retrieve", lambda *args, **kwargs: type("R", (), {"results": Any()}))
+    monkeypatch.setattr(e, "saved", lambda df: df)
+    monkeypatch.setattr(e, "m", Any())
+    monkeypatch.setattr(e, "write_charts", lambda *args: None)
+    monkeypatch.setattr(e, "write_workbook", lambda s, *args, **kwargs: sheets.update(s))
+    score_report(spark.range(205).selectExpr("id as query_id", "'q' as query", "'t' as query_type"), None, out=f"{tmp_path}")
+    assert sum(name.startswith("Query ") for name in sheets) == 205
