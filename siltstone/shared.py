@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests on one machine), a folder of this machine is set.
+    Only where that setting is absent and all runs in this process (tests), a folder of this machine is set; ValueError
+    if the executors are elsewhere.
     """
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not top:
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
         top = given.get() if given.isDefined() else None
     if not top:
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="siltstone-checkpoints-")
         spark.sparkContext.setCheckpointDir(top)
     return f"{top.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
