@@ -3,15 +3,24 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A task's table of distinct words is emptied beyond this many entries; results don't depend on it.
-WORDS_KEPT = 600_000
+from ..shared import saved, shared_dir
+
+__all__ = ["saved", "shared_dir"]
+
+#: Bytes that a task's table of distinct words may take before it is emptied; results don't depend on it.
+TABLE_BYTES = 32 << 20
+#: Bytes of text that a worker handles at a time, but for one longer row.
+SLICE_BYTES = 2 << 20
+#: Bytes of rows that go to a worker as one batch.
+ARROW_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -20,33 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is absent (tests on one machine), a folder of this machine is set.
-    """
-    conf = spark.sparkContext.getConf()
-    top = conf.get("spark.checkpoint.dir", None)
-    if not top:
-        jsc = spark.sparkContext._jsc.sc()
-        top = jsc.getCheckpointDir().get() if jsc.getCheckpointDir().isDefined() else None
-    if not top:
-        top = "file://" + tempfile.mkdtemp(prefix="siltstone-checkpoints-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+def fold(column: str, divisor: int):
+    """crc32 of the id as text, modulo the divisor; a null id is read as an empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor
 
 
-def saved(df: DataFrame, path: str | None = None) -> DataFrame:
-    """The rows written to the shared folder and read back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = path or shared_dir(spark)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def slices(batch: pa.RecordBatch, column: int | str, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts together stay below `size` bytes, but for a row that is larger by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, before = 0, 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, end - at)
+        at, before = end, int(ends[end - 1])
 
 
-def fold(column: str, divisor: int):
-    """crc32 of the id as text, modulo the divisor."""
-    return F.crc32(F.col(column).cast("string")) % divisor
+def lean(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends Python at most ARROW_BYTES at a time, so that batches of long texts stay small."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        df.sparkSession.conf.set(key, str(ARROW_BYTES))
+    return df
 
 
 def ascii_lower(col):
@@ -60,12 +64,21 @@ def words(text: str | None) -> list[bytes]:
 
 
 class Ids(dict):
-    """Numbers the distinct keys it is asked for, in order of first sight."""
+    """Numbers the distinct keys it is asked for, in order of first sight; knows about how many bytes it takes."""
+
+    bytes = 0
+    #: What an entry takes besides its key's characters: key and number as objects, and a place in the table.
+    ENTRY = 180
 
     def __missing__(self, key):
         self[key] = n = len(self)
+        self.bytes += self.ENTRY + len(key)
         return n
 
+    @property
+    def full(self) -> bool:
+        return self.bytes > TABLE_BYTES
+
     def of(self, keys: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, keys), np.int64, len(keys))
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORDS_KEPT, Grown, Ids, fold, table
+from .common import Grown, Ids, fold, slices, table
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BITS = 17
@@ -128,7 +128,7 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text, all words' labels, and all words' letters."""
-        if len(self.ids) > WORDS_KEPT:
+        if self.ids.full:
             self._empty()
         rows = [self.ids.of(WORD.findall(t.lower())) if t else np.empty(0, np.int64) for t in texts]
         new = list(islice(self.ids, self.letters.n, None))
@@ -165,8 +165,7 @@ def detect_languages(df: DataFrame, model: Model, text: str = "text", penalty: f
         labeller, k = Labeller(model, penalty), len(model.langs)
         names = np.array([*model.langs, "und"], object)
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for batch in slices(big, big.num_columns - 1):
                 texts = batch.column(batch.num_columns - 1).to_pylist()
                 lens, labels, letters = labeller.label(texts)
                 row = np.repeat(np.arange(len(texts)), lens)

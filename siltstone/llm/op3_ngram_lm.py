@@ -24,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Grown, Ids, fold, shared_dir, table, words
+from .common import Grown, Ids, fold, shared_dir, slices, table, words
 
 DISCOUNT = 0.75
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\r\n", b"\n"))  # no word is either
 LOW = 40  # bits kept of a successor
-#: Tokens a worker counts before it hands the counts on, and distinct words it keeps.
-TOKENS, WORDS = 3_000_000, 600_000
+#: Tokens a worker counts before it hands the counts on.
+TOKENS = 3_000_000
 
 BYTE_ONES = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 #: Place of the k-th one in a byte.
@@ -303,7 +303,7 @@ def train(df: DataFrame, path: str, text: str = "text") -> tuple[int, int, int]:
                 if n > TOKENS:
                     yield from flush()
                     held, n = [], 0
-                    if len(ids) > WORDS:
+                    if ids.full:
                         ids, hashes = _fresh()
         if held:
             yield from flush()
@@ -389,9 +389,8 @@ def score_texts(df: DataFrame, path: str, shards: int, n_all: int, v_all: int, t
                 g.extend(got[k])
 
         for big in batches:
-            for first in range(0, big.num_rows, 1000):
-                batch = big.slice(first, 1000)
-                if len(ids) > WORDS:
+            for batch in slices(big, big.num_columns - 1):
+                if ids.full:
                     ids, hashes = _fresh()
                     word = {k: Grown(g.data.dtype) for k, g in word.items()}
                 rows = [_tokens(t.as_py(), ids) for t in batch.column(batch.num_columns - 1)]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|type)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -319,8 +319,7 @@ def extract_main_text(df: DataFrame, html: str = "html", out: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
-            for at in range(0, big.num_rows, 500):
-                batch = big.slice(at, 500)
+            for batch in slices(big, big.num_columns - 1):
                 texts = [main_text(h.as_py()) for h in batch.column(batch.num_columns - 1)]
                 cols = [*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
                 yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in keep), out, "n_chars"])

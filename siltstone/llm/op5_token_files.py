@@ -21,12 +21,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PLAIN, Pieces
-from .common import WORDS_KEPT, Grown, Ids, saved, shared_dir, spread, table, tokenizer_path
+from .common import Grown, Ids, saved, shared_dir, slices, spread, table, tokenizer_path
 
 #: Ids a block holds before it is closed; a document is never split.
 BLOCK_IDS = 1 << 17
-#: Characters of text a worker handles at a time, but for one longer document.
-CHARS = 2_000_000
 
 #: How the vocabulary with word ends cuts a lower-cased word.
 PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
@@ -84,7 +82,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and how many each has."""
-        if len(self.words) > WORDS_KEPT:
+        if self.words.full:
             self._empty()
         rows, sizes = [], []
         for text in texts:
@@ -134,29 +132,6 @@ class WordEncoder:
         self.flat.extend(out)
 
 
-#: Kept by the worker from task to task.
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
-def encoder_of(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
-
-
-def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows whose texts together stay near CHARS."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    at, total = 0, 0
-    for k, n in enumerate(size):
-        if total and total + n > CHARS:
-            yield batch.slice(at, k - at)
-            at, total = k, 0
-        total += int(n)
-    if at < batch.num_rows:
-        yield batch.slice(at)
-
-
 def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 1) -> str:
     """Encodes every text, adds the end id, and writes the data set described above in ascending doc_id order.
 
@@ -169,9 +144,9 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
     spark = df.sparkSession
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, before = encoder_of(vocabulary), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, before = WordEncoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         for whole in batches:
-            for batch in _slices(whole, "text"):
+            for batch in slices(whole, "text"):
                 flat, n = encoder.encode(batch.column("text").to_pylist())
                 ids = np.empty(len(flat) + len(n), flat.dtype)
                 at = np.cumsum(n + 1) - n - 1

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PLAIN, Pieces
-from .common import WORDS_KEPT, Grown, Ids, table, tokenizer_path
+from .common import Grown, Ids, slices, table, tokenizer_path
 
 #: How byte-level vocabularies of this family cut a text before they merge.
 PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -27,7 +27,7 @@ class Counter:
         self.ids, self.counts = Ids(), Grown(np.int32)
 
     def count(self, texts: list[str | None]) -> np.ndarray:
-        if len(self.ids) > WORDS_KEPT:
+        if self.ids.full:
             self.ids, self.counts = Ids(), Grown(np.int32)
         out = np.zeros(len(texts), np.int64)
         seen, rows = [], []
@@ -73,8 +73,7 @@ def token_counts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(path)
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for batch in slices(big, "__text"):
                 col = batch.column(batch.schema.get_field_index("__text"))
                 texts = col.to_pylist()
                 size = pc.fill_null(pc.binary_length(col), 0).cast(pa.int64())

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORDS_KEPT, Grown, Ids, saved, table, words
+from .common import Grown, Ids, saved, slices, table, words
 from .graph import components
 
 K = 64
@@ -51,7 +51,7 @@ class Shingles:
 
     def many(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """The sets of texts given as words; new words are hashed once for all of them."""
-        if len(self.ids) > WORDS_KEPT:
+        if self.ids.full:
             self.ids, self.hashes = Ids(), Grown(np.uint64)
         rows = [self.ids.of(t) for t in texts]
         new = len(self.ids) - self.hashes.n
@@ -92,8 +92,7 @@ def sketches(df: DataFrame, doc_id: str, text: str, n: int, k: int) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for big in batches:
-            for at in range(0, big.num_rows, 1000):
-                batch = big.slice(at, 1000)
+            for batch in slices(big, 1):
                 tokens = [words(text.as_py()) for text in batch.column(1)]
                 sets = shingles.many(tokens)
                 keys = [class_key(t) if t else None for t in tokens]

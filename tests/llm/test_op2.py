@@ -1,6 +1,16 @@
+import random
+import re
+from collections import Counter
+from itertools import combinations
+from zlib import crc32
+
+import duckdb
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from siltstone.llm.op2_toxicity import fit, letters, op2_toxicity, score_toxicity
+from siltstone.llm import op2_toxicity as m
+from siltstone.llm.op2_toxicity import fit, op2_toxicity, score_toxicity
 
 
 def test_held_out_documents(spark):
@@ -43,8 +53,69 @@ def test_no_examples(spark):
         assert [r.predicted for r in score_toxicity(df, model).collect()] == [0]
 
 
-def test_letters():
-    assert letters("Gr4ss!") == "grass" and letters("1234") == "" and letters("i-d.i_o*t") == "idiot"
+def subsequences(word):
+    """Every subsequence of three letters, by counting; marks beside the letters, what lies outside them left out."""
+    letter = [i for i, c in enumerate(word) if m.LETTER[ord(c)]]
+    if not letter:
+        return Counter()
+    marked = ["begin", *word[letter[0] : letter[-1] + 1], "end"]
+    code = [{"begin": m.BEGIN, "end": m.END}.get(c) or int(m.CODES[ord(c)]) for c in marked]
+    out = Counter()
+    for i, j, k in combinations(range(len(code)), 3):
+        if k - i < m.SPAN and code[i] and code[j] and code[k]:
+            out[code[i], code[j], code[k]] += m.DECAY ** (k - i + 1) * (m.FRONT if code[i] == m.BEGIN else 1)
+    return out
+
+
+def similarity(a, b):
+    x, y = subsequences(a), subsequences(b)
+    own = lambda z: sum(v * v for v in z.values()) ** 0.5
+    return sum(v * y[u] for u, v in x.items()) / (own(x) * own(y)) if x and y else 0.0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcé01-.*ñ", min_size=1, max_size=9), min_size=1, max_size=6), st.lists(st.sampled_from(["abc", "cabba", "éabé", "b-a-c", "a0b1c", "aaaa"]), min_size=1, max_size=4))
+def test_kernel_is_the_count_of_subsequences(words, marks):
+    kernel = m.Kernel(marks, 1)
+    want = np.array([[similarity(w, t) for t in marks] for w in words])
+    assert np.allclose(kernel.plain(words), want, atol=1e-5)
+    near = kernel.near(words)
+    assert not ((want[:, 0] >= m.NEAR + 1e-5) & ~near).any()  # the bound leaves out none
+    assert np.allclose(kernel(words), np.where(near[:, None], np.minimum(want, 1) ** m.POWER, 0), atol=1e-4)
+
+
+def test_sentences():
+    add = lambda words: np.array([[float(len(w))] for w in words], np.float32)
+    v = m.Vocabulary(add, 1)
+    sums, text, count = v.sentences(["aaa bbbb. cccc ccc cccc", None, "", "x y z aaa", "ab1 " * 25, "ddd"])
+    assert count.tolist() == [2, 0, 0, 1, 2, 1] and text.tolist() == [0, 0, 3, 4, 4, 5]
+    assert sums[:, 0].tolist() == [3 + 5, 4 + 3, 3 + 3, 0, 0, 3]  # distinct words once; x y z as one word; ab1 is too short
+
+
+def test_held_out_disguises():
+    """What the kernel adds: held-out toxic documents are found as well if every insult has a character put in."""
+    d = "/root/testdata/sf0.1"
+    rows = duckdb.sql(f"select doc_id, text, toxic from '{d}/documents.parquet' join '{d}/labels.parquet' using (doc_id) where toxic is not null order by 1").fetchall()
+    held = lambda r: crc32(str(r[0]).encode()) % 3 == 1
+    model = fit([r[1] for r in rows if not held(r)], [r[2] for r in rows if not held(r)])
+    scorer, rng = m.Scorer(model), random.Random(1)
+    insult = re.compile("trash|pathetic|idiot|disgusting|worthless|stupid|clown|loser|scum|moron", re.I)
+    toxic = [r[1] for r in rows if held(r) and r[2] and insult.search(r[1])]
+    for disguise in (lambda w: m.disguised(w, rng), "-".join, " ".join):
+        changed = [insult.sub(lambda x: disguise(x[0]), t) for t in toxic]
+        assert not any(insult.search(t) for t in changed) or disguise(" ") != " "
+        assert (scorer.score(changed) >= 0.7).mean() >= 0.9
+
+
+def test_nulls_clashes_and_empty_tables(spark, tables):
+    docs = [(None, "a grumblord is here.", "x"), (1, None, "x"), (1, "", "x"), (2, "snotwaffle " * 3, None), (2, "snotwaffle " * 3, None)]
+    labels = [(None, 1), (1, None), (2, 1), (3, 0), (3, 0), (9, 1)]
+    got = op2_toxicity(spark, tables(documents=(docs, "doc_id long, text string, score string"), labels=(labels, "doc_id long, toxic int"))).collect()
+    assert len(got) == 5 and {r.held_out for r in got} <= {True, False}
+    assert [r.held_out for r in got if r.doc_id is None] == [crc32(b"") % 3 == 1]
+    assert len({r.score for r in got if r.doc_id == 2}) == 1
+    none = op2_toxicity(spark, tables(documents=([], "doc_id long, text string, score string"), labels=(labels, "doc_id long, toxic int")))
+    assert none.count() == 0 and none.columns == ["doc_id", "held_out", "score", "predicted"]
 
 
 def test_toxic_passage_in_a_long_text(spark):
