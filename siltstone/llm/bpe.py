@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import regex
@@ -63,18 +64,14 @@ class PieceBPE:
             todo = todo[(got >= 0) & ~hit]
         return out
 
-    def short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all pieces (none longer than LONGEST bytes, none empty), and how many each has."""
+    def _merged(self, pieces: list[bytes], block: int = 8192) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of like length, a block at a time: which they are, and their ids with -1 where a token was merged away."""
         lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        counts = np.empty(len(pieces), np.int64)
         order = np.argsort(lens, kind="stable")
         raw = np.frombuffer(b"".join(pieces), np.uint8)
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]]) if len(lens) else lens
-        rows: list[np.ndarray] = []
-        at = 0
-        while at < len(order):  # blocks of like length
-            some = order[at : at + 20_000]
-            at += len(some)
+        for at in range(0, len(order), block):
+            some = order[at : at + block]
             n, width = lens[some], int(lens[some[-1]])
             ids = np.full((len(some), width + 1), -1, np.int64)
             r = np.repeat(np.arange(len(some)), n)
@@ -82,9 +79,24 @@ class PieceBPE:
             ids[r, c] = self.inner[raw[spread(starts[some], n)]]
             ids[np.arange(len(some)), n - 1] = self.last[raw[starts[some] + n - 1]]
             self._merge(ids, n)
+            yield some, ids
+
+    def counts(self, pieces: list[bytes]) -> np.ndarray:
+        """How many ids each piece has (none longer than LONGEST bytes, none empty); no list of ids is made."""
+        out = np.empty(len(pieces), np.int64)
+        for some, ids in self._merged(pieces):
+            out[some] = (ids >= 0).sum(1)
+        return out
+
+    def short(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces (none longer than LONGEST bytes, none empty), and how many each has."""
+        counts, rows, order = np.empty(len(pieces), np.int64), [], []
+        for some, ids in self._merged(pieces):
             alive = ids >= 0
             counts[some] = alive.sum(1)
             rows.append(ids[alive])
+            order.append(some)
+        order = np.concatenate(order) if order else np.empty(0, np.int64)
         flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
         begin = np.empty(len(pieces), np.int64)
         done = counts[order]
@@ -143,6 +155,16 @@ class Pieces:
 
         self.fast, self.library = PieceBPE(path), Tokenizer.from_file(path)
 
+    def counts(self, pieces: list[bytes]) -> np.ndarray:
+        """How many ids each piece has, for pieces the pre-tokenizer leaves whole."""
+        out = np.empty(len(pieces), np.int64)
+        plain = [k for k, p in enumerate(pieces) if len(p) <= LONGEST]
+        out[plain] = self.fast.counts([pieces[k] for k in plain] if len(plain) < len(pieces) else pieces)
+        for k, p in enumerate(pieces):
+            if len(p) > LONGEST:
+                out[k] = len(self.library.encode(p.decode("utf-8"), add_special_tokens=False))
+        return out
+
     def ids(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """For pieces the pre-tokenizer leaves whole."""
         odd = [k for k, p in enumerate(pieces) if len(p) > LONGEST]

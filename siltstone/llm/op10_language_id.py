@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Grown, Ids, fold, slices, table
+from .common import Grown, Ids, fold, lean, slices, table
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BITS = 17
@@ -178,7 +178,7 @@ def detect_languages(df: DataFrame, model: Model, text: str = "text", penalty: f
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*(f.name for f in keep), *new])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["lang_pred string", "score double", "n_languages int", "spans array<struct<`from`:int,`to`:int,lang:string>>"][: 3 + with_spans]
-    return df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, ", ".join(fields))
+    return lean(df).select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, ", ".join(fields))
 
 
 def _spans(texts: list[str | None], lens: np.ndarray, labels: np.ndarray, langs: list[str]) -> list[list[dict]]:

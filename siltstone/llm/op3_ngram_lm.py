@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Grown, Ids, fold, shared_dir, slices, table, words
+from .common import Grown, Ids, fold, lean, shared_dir, slices, table, words
 
 DISCOUNT = 0.75
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\r\n", b"\n"))  # no word is either
@@ -339,7 +339,7 @@ def train(df: DataFrame, path: str, text: str = "text") -> tuple[int, int, int]:
         if rows:
             yield finish(last, rows)
 
-    packed = df.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(count, "shard int, kind int, m long, n long, data binary")
+    packed = lean(df).select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(count, "shard int, kind int, m long, n long, data binary")
     built = packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(build, "shard int, n long, v long").collect()  # a row per shard
     there = {r["shard"] for r in built}
     for k in range(shards):
@@ -416,7 +416,7 @@ def score_texts(df: DataFrame, path: str, shards: int, n_all: int, v_all: int, t
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*(f.name for f in keep), *new])
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["n_tokens long, n_known long, train_tokens long, base_score double, score double"])
-    return df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, fields)
+    return lean(df).select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, fields)
 
 
 def _groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import lean, slices, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden|type)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -325,7 +325,7 @@ def extract_main_text(df: DataFrame, html: str = "html", out: str = "text") -> D
                 yield pa.RecordBatch.from_arrays(cols, names=[*(f.name for f in keep), out, "n_chars"])
 
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + [f"`{out}` string", "n_chars long"])
-    return df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{html}`").cast("string").alias("__html")).mapInArrow(run, fields)
+    return lean(df).select(*[F.col(f"`{f.name}`") for f in keep], F.col(f"`{html}`").cast("string").alias("__html")).mapInArrow(run, fields)
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

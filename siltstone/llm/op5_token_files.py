@@ -1,7 +1,8 @@
 """Token ids on disk: frequency-ranked ids in byte-aligned variable-length code, control bytes apart from data bytes.
 
 A data set is a folder with two Parquet tables. `ranks` (rank, id) says which id a rank stands for; frequent ids have
-small ranks. `blocks` has one row per block of whole documents: part and seq (ascending in document order), start (ids
+small ranks. `blocks` has one row per block of whole documents, in files whose names ascend with the documents: part and
+seq (ascending in document order), start (ids
 before the block), doc_ids and lens (little-endian int64, one per document), control (two bits per id: bytes it takes,
 less one, four ids per byte) and data (the ranks' bytes, least significant first).
 """
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PLAIN, Pieces
-from .common import Grown, Ids, saved, shared_dir, slices, spread, table, tokenizer_path
+from .common import Grown, Ids, lean, saved, shared_dir, slices, spread, table, tokenizer_path
 
 #: Ids a block holds before it is closed; a document is never split.
 BLOCK_IDS = 1 << 17
@@ -162,7 +163,7 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
                 seq, before = seq + m, before + len(ids)
 
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    docs = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
+    docs = lean(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     raw = saved(docs.mapInArrow(encode, "part int, seq long, doc_id long, before long, n long, ids binary"))
     parts = {r["part"]: r["n"] for r in raw.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     first, total = {}, 0
@@ -210,7 +211,9 @@ def write_token_files(df: DataFrame, path: str, doc_id: str = "doc_id", text: st
                 at = end
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int64()), ("start", pa.int64()), *((k, pa.binary()) for k in ("doc_ids", "lens", "control", "data"))])
-    raw.mapInArrow(blocks, BLOCKS).sortWithinPartitions("part", "seq").write.option("compression", "none").parquet(f"{path}/blocks")
+    # a file for each part, in the parts' order: `raw` comes back in an order that its files' sizes give
+    placed = raw.mapInArrow(blocks, BLOCKS).repartitionById(max(parts, default=0) + 1, F.col("part")).sortWithinPartitions("seq")
+    placed.write.option("compression", "none").parquet(f"{path}/blocks")
     return path
 
 
@@ -241,4 +244,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, from files written and read back.
+
+    Null and empty texts hold the end id alone, a null doc_id comes first, repeated rows get a place each, texts of any
+    length are encoded whole, and no documents give no rows.
+    """
     return read_token_files(spark, write_token_files(table(spark, sf_dir, "documents", "doc_id", "text"), shared_dir(spark)))

@@ -1,8 +1,13 @@
-"""Token counts: pieces are counted once per distinct pre-token and summed by per-document frequencies."""
+"""Token counts: pieces are counted once per distinct pre-token and summed by per-document frequencies.
+
+The distinct pre-tokens are those of a task's recent texts, in a table of bounded size: to share one table between tasks
+would mean to shuffle every pre-token of every document, which costs more than the merges it saves.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import PLAIN, Pieces
-from .common import Grown, Ids, slices, table, tokenizer_path
+from .common import Grown, Ids, lean, slices, table, tokenizer_path
 
 #: How byte-level vocabularies of this family cut a text before they merge.
 PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -23,37 +28,40 @@ class Counter:
 
     def __init__(self, path: str):
         self.pieces = Pieces(path)
-        self.specials = [t.content for t in self.pieces.library.get_added_tokens_decoder().values()]
+        self.cut = self.pieces.library.pre_tokenizer
+        specials = [t.content for t in self.pieces.library.get_added_tokens_decoder().values()]
+        self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None
         self.ids, self.counts = Ids(), Grown(np.int32)
 
+    def _pieces(self, text: str) -> list[str]:
+        """The text's pre-tokens: by PRE where that is sure to agree with the library, else as the library itself cuts."""
+        return PRE.findall(text) if PLAIN.fullmatch(text) else [text[a:b] for _, (a, b) in self.cut.pre_tokenize_str(text)]
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         if self.ids.full:
             self.ids, self.counts = Ids(), Grown(np.int32)
         out = np.zeros(len(texts), np.int64)
         seen, rows = [], []
         for k, text in enumerate(texts):
-            if not text:
-                continue
-            if not PLAIN.fullmatch(text) or any(s in text for s in self.specials):
-                out[k] = len(self.pieces.library.encode(text, add_special_tokens=False))
-                continue
-            seen.append(np.unique(self.ids.of(PRE.findall(text)), return_counts=True))  # this text's frequencies
-            rows.append(k)
+            parts = self.special.split(text) if text and self.special else [text]
+            out[k] = len(parts) - 1  # special strings, a token each
+            for part in parts:
+                if part:
+                    seen.append(np.unique(self.ids.of(self._pieces(part)), return_counts=True))  # this text's frequencies
+                    rows.append(k)
             if len(self.ids) - self.counts.n > 50_000:
                 self._learn()
         self._learn()
         counts = self.counts.view
         for k, (ids, freq) in zip(rows, seen):
-            out[k] = int((counts[ids] * freq).sum())
+            out[k] += int((counts[ids] * freq).sum())
         return out
 
     def _learn(self) -> None:
-        """The piece counts of pre-tokens that are new; ids are given in order of insertion."""
-        from itertools import islice
-
+        """The token counts of pre-tokens that are new; ids are given in order of insertion."""
         new = [p.encode() for p in islice(self.ids, self.counts.n, None)]
         if new:
-            self.counts.extend(self.pieces.ids(new)[1].astype(np.int32))
+            self.counts.extend(self.pieces.counts(new).astype(np.int32))
 
 
 def token_counts(
@@ -62,9 +70,9 @@ def token_counts(
     """Adds to each row the UTF-8 bytes of a text, its tokens, and whether these exceed the limit.
 
     The join of pre-token counts with per-document frequencies is local to each task: nothing is shuffled, and a
-    task's table is emptied beyond WORDS_KEPT entries. Nulls and empty texts have 0 bytes and 0 tokens. Texts with
-    characters on which regex libraries may differ, or with special strings, are counted by the tokenizers library
-    itself. Repeated rows are counted each. Columns of the input named as an output are replaced.
+    task's table is emptied beyond TABLE_BYTES. Nulls and empty texts have 0 bytes and 0 tokens. Special strings are a
+    token each and are cut out first; texts with characters on which regex libraries may differ are cut into pre-tokens by
+    the tokenizers library. Repeated rows are counted each. Columns of the input named as an output are replaced.
     """
     path = vocabulary or tokenizer_path("byte_bpe_50k.json")
     keep = [f for f in df.schema.fields if f.name not in out and f.name != text]
@@ -86,8 +94,10 @@ def token_counts(
     text_kept = text not in out
     order = [*names, *([text] if text_kept else []), *out]
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ([f"`{text}` string"] if text_kept else []) + [f"`{out[0]}` long", f"`{out[1]}` long", f"`{out[2]}` boolean"])
-    return df.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, fields)
+    return lean(df).select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").cast("string").alias("__text")).mapInArrow(run, fields)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit of every document; null and empty texts have 0 of both, repeated rows and
+    null ids a row each, long texts are counted whole, and no documents give no rows."""
     return token_counts(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Grown, Ids, saved, slices, table, words
+from .common import Grown, Ids, lean, saved, slices, table, words
 from .graph import components
 
 K = 64
@@ -100,7 +100,7 @@ def sketches(df: DataFrame, doc_id: str, text: str, n: int, k: int) -> DataFrame
                 least = [s[:k].view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "sketch"])
 
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = lean(df).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, sketch array<long>")
 
 
@@ -166,7 +166,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     whether it is the row's own; rows that repeat an id with one text agree. Copies are linked through their class, so a
     class of any size costs a row each. A hub's documents are compared in blocks, so no task holds all of them.
     """
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    docs = lean(df).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     every = saved(sketches(docs, "doc_id", "text", n, k))
     rows = every.filter("key is not null and doc_id is not null")
     reps = saved(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r")).select(F.col("r.doc_id").alias("rep"), "key", F.col("r.n_shingles").alias("n_shingles"), F.col("r.sketch").alias("sketch")))

@@ -1,6 +1,8 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,3 +56,28 @@ def test_empty_tables_and_repeated_ids(spark, rows):
 def test_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in op5_token_files(spark, sf).collect()) == expected(docs)
+
+
+def test_files_ascend(spark, sf):
+    """Read file by file in the order of their names, the documents' ids and starts ascend, however the pass before was split."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        path = write_token_files(docs, shared_dir(spark))
+        files = sorted(Path(path.removeprefix("file://"), "blocks").glob("*.parquet"))
+        got = [r for f in files for r in sorted(read_blocks(f), key=lambda r: r[0])]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(files) > 2 and got == [r for f in files for r in read_blocks(f)]  # in order inside a file, too
+    ids = [k for _, doc in got for k in doc]
+    assert ids == sorted(ids) and len(ids) == docs.count()
+    assert [start for start, _ in got] == sorted(start for start, _ in got)
+
+
+def read_blocks(file):
+    t = pq.read_table(file)
+    return [(s, np.frombuffer(d, "<i8").tolist()) for s, d in zip(t["start"].to_pylist(), t["doc_ids"].to_pylist())]
