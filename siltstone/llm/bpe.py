@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import regex
@@ -155,6 +156,12 @@ class Pieces:
 
         self.fast, self.library = PieceBPE(path), Tokenizer.from_file(path)
 
+    @classmethod
+    @lru_cache(maxsize=1)
+    def of(cls, path: str) -> Pieces:
+        """One for each worker: a vocabulary's tables don't grow, and reading them takes as long as a small task."""
+        return cls(path)
+
     def counts(self, pieces: list[bytes]) -> np.ndarray:
         """How many ids each piece has, for pieces the pre-tokenizer leaves whole."""
         out = np.empty(len(pieces), np.int64)

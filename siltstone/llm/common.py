@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from ..shared import saved, shared_dir
 __all__ = ["saved", "shared_dir"]
 
 #: Bytes that a task's table of distinct words may take before it is emptied; results don't depend on it.
-TABLE_BYTES = 32 << 20
+TABLE_BYTES = 96 << 20
 #: Bytes of text that a worker handles at a time, but for one longer row.
 SLICE_BYTES = 2 << 20
 #: Bytes of rows that go to a worker as one batch.
@@ -53,6 +54,20 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+def with_row_key(df: DataFrame, file: str = "__file", row: str = "__row") -> DataFrame:
+    """The rows with two longs that tell each from all others and stay the same however often the rows are read.
+
+    Rows of files are told by the hash of the file's name and their place in it; other rows are numbered and written to
+    the shared folder first.
+    """
+    try:
+        keyed = df.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        keyed.schema  # analysed here
+        return keyed
+    except AnalysisException:
+        return saved(df.withColumn(file, F.lit(0).cast("long")).withColumn(row, F.monotonically_increasing_id()))
+
+
 def ascii_lower(col):
     """A-Z to a-z and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -11,7 +11,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Grown, Ids, fold, lean, slices, table
+from ..shared import small
+from .common import Grown, Ids, fold, lean, saved, slices, table
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 BITS = 17
@@ -140,13 +141,20 @@ class Labeller:
         return lens, viterbi(self.table.view[ids], lens, self.penalty), self.letters.view[ids]
 
 
-def train(df: DataFrame, text: str, lang: str, key: str, per_language: int) -> Model:
-    """Fits a model on at most per_language labelled texts of each language, those with the least hash of their key."""
-    labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    w = Window.partitionBy("__lang").orderBy("__h", "__key")
-    ids = labelled.select(F.col(lang).alias("__lang"), F.col(key).alias("__key"), F.xxhash64(F.col(key)).alias("__h")).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_language).select("__key")
-    rows = labelled.select(F.col(key).alias("__key"), F.col(lang).alias("l"), F.col(text).alias("t")).join(F.broadcast(ids.distinct()), "__key", "left_semi").orderBy("l", "__key").collect()
-    return Model([r["t"] for r in rows], [r["l"] for r in rows])
+def train(df: DataFrame, text: str, lang: str, key: str, per_language: int, most: int = 20_000) -> Model:
+    """Fits a model on at most per_language labelled texts of each language, and `most` of all, those with the least hash of their key.
+
+    Languages are counted first, so only the hashes that are small enough are ranked. Null languages, texts and keys
+    teach nothing; a key that comes several times counts as often. The driver gets the sample's texts and nothing else.
+    """
+    labelled = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(lang).cast("string").alias("__lang"), F.col(text).cast("string").alias("__text"))
+    counts = saved(labelled.groupBy("__lang").agg(F.count("*").alias("__n")))
+    per_language = max(1, min(per_language, most // max(1, counts.count())))
+    share = F.pmod(F.xxhash64("__key", "__lang"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    chosen = labelled.join(small(counts), "__lang").withColumn("__h", share).filter(F.col("__h") < 1.2 * per_language / F.col("__n"))
+    w = Window.partitionBy("__lang").orderBy("__h", "__key")  # some 1.2 * per_language rows
+    rows = chosen.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_language).orderBy("__lang", "__h", "__key").select("__lang", "__text").toArrow()
+    return Model(rows.column("__text").to_pylist(), rows.column("__lang").to_pylist())
 
 
 def detect_languages(df: DataFrame, model: Model, text: str = "text", penalty: float = 8.0, with_spans: bool = False) -> DataFrame:
@@ -198,6 +206,11 @@ def _spans(texts: list[str | None], lens: np.ndarray, labels: np.ndarray, langs:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score and n_languages of every document.
+
+    A null id is in the fold of the empty text; null texts and texts without letters are `und` with score 0; ties go to the
+    first language in order; repeated rows get a row each; texts of any length are read whole; no documents give no rows.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     model = train(docs.filter(fold("doc_id", 4) != 2), "text", "lang", "doc_id", per_language=1000)
     found = detect_languages(docs.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text"), model)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table
+from .common import ascii_lower, table, with_row_key
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Retained hashes that may be a literal of the plan and a broadcast table; above it they are joined by shuffle.
@@ -73,13 +73,21 @@ def find_items(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float =
     return best.select("doc_id", "item_id", F.col("b.q").cast("long").alias("n_shingles"), F.col("b.found").cast("long").alias("n_found"), (F.col("b.found") / F.col("b.q")).alias("containment"))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, doc_id: str = "doc_id") -> DataFrame:
-    """The documents, all columns, that hold no item; a row goes if any row of its id holds one."""
-    bad = find_items(docs, items, n, threshold, doc_id).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(F.col("__bad")), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, n: int = 5, threshold: float = 0.8, text: str = "text") -> DataFrame:
+    """The rows, all columns, that hold no item. Each row is judged by itself and told from others by its place, so rows
+    with null or repeated ids do no harm to one another."""
+    keyed = with_row_key(docs)
+    place = F.struct("__file", "__row")
+    bad = find_items(keyed.select(place.alias("doc_id"), F.col(f"`{text}`").alias("text")), items.select("item_id", "text"), n, threshold).select(F.col("doc_id.__file").alias("f"), F.col("doc_id.__row").alias("r")).distinct()
+    return keyed.join(bad, (F.col("__file") == F.col("f")) & (F.col("__row") == F.col("r")), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, n_shingles, n_found and containment of every document that holds a benchmark item.
+
+    Null, empty and wordless texts on either side match nothing; null ids are an id like others; rows that repeat an id
+    give one row with the largest containment; texts of any length are searched whole; empty tables give no rows.
+    """
     return find_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 

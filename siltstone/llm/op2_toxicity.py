@@ -30,7 +30,7 @@ DECAY, POWER = 0.6, 3
 #: Letters of a subsequence lie within so many places of each other.
 SPAN = 7
 #: A word counts for nothing if a bound of its similarity to all toxic landmarks is below this.
-NEAR = 0.4
+NEAR = 0.5
 LONGEST, STEP = 20, 10  # characters of a piece of a long word, and how far the next one starts
 #: How much more those count that start with a word's beginning.
 FRONT = 2.0

@@ -1,12 +1,15 @@
 """Language-model scoring with a memory-mapped Elias-Fano trie of word bigrams.
 
 Words are 64-bit hashes. The model is dealt into shards by the hash of a context word; a shard is one file that holds
- * keys: the hashes of its words, ascending, as an Elias-Fano sequence, and each word's exact count and discount mass;
+ * keys: the hashes of its words, ascending, as an Elias-Fano sequence, the running sum of their exact counts as another,
+   and a byte for each that names one of 256 discount masses of the shard;
  * pointers: for each key, where its successors begin, as an Elias-Fano sequence;
- * successors: below each context, the low 40 bits of the next words' hashes, ascending, and a byte for each that names
-   one of 256 discounted probabilities of the shard.
-A bigram is looked up by finding its context's key and then searching its successors between two pointers. Probabilities
-are interpolated: P(w | c) = max(n(c, w) - D, 0) / n(c) + D * t(c) / n(c) * (n(w) + 1) / (N + V + 1), where t(c) is the
+ * successors: the number of the context, then 40 bits of the next word's hash, as an Elias-Fano sequence (relative to its
+   context a successor is 40 bits; the context's number makes the whole ascend), and a byte for each that names one of 256
+   discounted probabilities of the shard. Where two successors of a context share the 40 bits, both stay, and a small
+   table of whole hashes tells them apart.
+A bigram is looked up by finding its context's key and then searching its successors between two pointers. A word that
+never follows a context is taken for one of its t successors with a chance of t / 2**40. Probabilities are interpolated: P(w | c) = max(n(c, w) - D, 0) / n(c) + D * t(c) / n(c) * (n(w) + 1) / (N + V + 1), where t(c) is the
 number of distinct successors of c; a context that is not known leaves the second factor alone.
 """
 
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 from itertools import islice
 
@@ -28,7 +32,7 @@ from .common import Grown, Ids, fold, lean, shared_dir, slices, table, words
 
 DISCOUNT = 0.75
 START, END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in (b"\r\n", b"\n"))  # no word is either
-LOW = 40  # bits kept of a successor
+TOP = 40  # bits kept of a successor's hash
 #: Tokens a worker counts before it hands the counts on.
 TOKENS = 3_000_000
 
@@ -92,13 +96,13 @@ class EliasFano:
         high = (self._select(i, True) - i).astype(np.uint64)
         return (high << self.shift) | self.lows(i)
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, or -1."""
+    def find(self, values: np.ndarray, lo: np.ndarray | int = 0, hi: np.ndarray | None = None) -> np.ndarray:
+        """Index of each value between lo and hi, the first if it comes several times, or -1."""
         if not self.n:
             return np.full(len(values), -1, np.int64)
         high = (values >> self.shift).astype(np.int64)
-        lo = np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0)
-        hi = self._select(high, False) - high
+        lo = np.maximum(lo, np.where(high > 0, self._select(np.maximum(high - 1, 0), False) - np.maximum(high - 1, 0), 0))
+        hi = np.minimum(self.n if hi is None else hi, self._select(high, False) - high)
         return search(self.lows, lo, hi, values & np.uint64((1 << int(self.shift)) - 1))
 
 
@@ -129,11 +133,15 @@ def _book(p: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate([tail, grid[grid >= kinds[0]]])).astype(np.float32)
 
 
+def _named(p: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """For each value the number of the book's next smaller one, so that sums of probabilities stay below 1."""
+    return np.clip(np.searchsorted(book, p, "right") - 1, 0, 255).astype(np.uint8)
+
+
 def build_shard(keys: np.ndarray, counts: np.ndarray, c: np.ndarray, w: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
     """Levels of a shard from its words' counts and its contexts' bigrams; equal rows are summed."""
     keys, inverse = np.unique(keys, return_inverse=True)
     total = np.bincount(inverse, counts, minlength=len(keys)).astype(np.int64)
-    w = w & np.uint64((1 << LOW) - 1)
     order = np.lexsort((w, c))
     c, w, n = c[order], w[order], n[order]
     first = np.ones(len(c), bool)
@@ -149,14 +157,22 @@ def build_shard(keys: np.ndarray, counts: np.ndarray, c: np.ndarray, w: np.ndarr
     types = np.bincount(of, minlength=len(keys))
     followed = np.bincount(of, n, minlength=len(keys))
     p = np.log10((n - DISCOUNT) / np.maximum(followed[of], 1)).astype(np.float32)
-    book = _book(p)
-    codes = np.clip(np.searchsorted(book, p, "right") - 1, 0, 255).astype(np.uint8)  # the next smaller one, so sums stay below 1
+    rest = np.log10(np.where(followed > 0, DISCOUNT * types / np.maximum(followed, 1), 1.0)).astype(np.float32)
+    book, rests = _book(p), _book(rest)
     ends = np.concatenate([[0], np.cumsum(types)]).astype(np.uint64)
+    sums = np.concatenate([[0], np.cumsum(total)]).astype(np.uint64)
+    # both orders are the same, for a hash's top bits come first; a shard has fewer than 2**24 contexts
+    value = (of.astype(np.uint64) << np.uint64(TOP)) | (w >> np.uint64(64 - TOP))
+    twin = np.zeros(len(value), bool)
+    if len(value):
+        twin[1:] = value[1:] == value[:-1]
+        twin[:-1] |= twin[1:]
+    at = np.flatnonzero(twin)
     out = {f"key_{k}": v for k, v in EliasFano.arrays(keys, 1 << 64).items()}
     out |= {f"ptr_{k}": v for k, v in EliasFano.arrays(ends, int(len(c)) + 1).items()}
-    planes = w[:, None].view(np.uint8).reshape(len(w), 8)[:, : LOW // 8] if len(w) else np.zeros((0, LOW // 8), np.uint8)
-    rest = np.where(followed > 0, DISCOUNT * types / np.maximum(followed, 1), 1.0).astype(np.float32)
-    return out | {"count": total, "rest": rest, "succ": np.ascontiguousarray(planes), "code": codes, "book": book.astype(np.float32)}
+    out |= {f"sum_{k}": v for k, v in EliasFano.arrays(sums, int(sums[-1]) + 1).items()}
+    out |= {f"succ_{k}": v for k, v in EliasFano.arrays(value, max(1, len(keys)) << TOP).items()}
+    return out | {"rest": _named(rest, rests), "rests": rests, "code": _named(p, book), "book": book, "twin_at": at.astype(np.int64), "twin": w[at], "n": np.array([total.sum(), (total > 0).sum()], np.int64)}
 
 
 def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
@@ -182,30 +198,36 @@ class Shard:
             dt = np.dtype(dtype)
             begin = 8 + size + at
             part[name] = data[begin : begin + dt.itemsize * int(np.prod(shape))].view(dt).reshape(shape)
-        self.keys = EliasFano(part["key_bits"], part["key_ones"], part["key_low"])
-        self.ptr = EliasFano(part["ptr_bits"], part["ptr_ones"], part["ptr_low"])
-        self.count, self.rest, self.succ, self.code, self.book = (part[k] for k in ("count", "rest", "succ", "code", "book"))
-
-    def _low(self, i: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), np.uint64)
-        for k in range(LOW // 8):
-            out |= self.succ[i, k].astype(np.uint64) << np.uint64(8 * k)
-        return out
+        self.keys, self.ptr, self.sums, self.succ = (EliasFano(part[f"{k}_bits"], part[f"{k}_ones"], part[f"{k}_low"]) for k in ("key", "ptr", "sum", "succ"))
+        self.rest, self.rests, self.code, self.book, self.twin_at, self.twin = (part[k] for k in ("rest", "rests", "code", "book", "twin_at", "twin"))
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each word: its key or -1, count, and the mass its discounts leave."""
         at = self.keys.find(h)
         known = at >= 0
         count, rest = np.zeros(len(h), np.int64), np.ones(len(h), np.float32)
-        count[known], rest[known] = self.count[at[known]], self.rest[at[known]]
+        some = at[known]
+        count[known] = (self.sums.get(some + 1) - self.sums.get(some)).astype(np.int64)
+        rest[known] = np.float32(10.0) ** self.rests[self.rest[some]]
         return at, count, rest
 
     def range_of(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.ptr.get(key).astype(np.int64), self.ptr.get(key + 1).astype(np.int64)
 
-    def bigrams(self, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Discounted probability of each successor of a range, 0 if there is none."""
-        at = search(self._low, lo, hi, w & np.uint64((1 << LOW) - 1))
+    def bigrams(self, key: np.ndarray, lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Discounted probability of each word as a successor of a key, whose range is given; 0 if it is none."""
+        wanted = (np.maximum(key, 0).astype(np.uint64) << np.uint64(TOP)) | (w >> np.uint64(64 - TOP))
+        at = np.full(len(w), -1, np.int64)
+        some = np.flatnonzero((key >= 0) & (lo < hi))
+        at[some] = self.succ.find(wanted[some], lo[some], hi[some])
+        if len(self.twin_at) and len(at):
+            first = np.searchsorted(self.twin_at, at)
+            for k in np.flatnonzero((first < len(self.twin_at)) & (self.twin_at[np.minimum(first, len(self.twin_at) - 1)] == at) & (at >= 0)):
+                j, found = first[k], -1  # the first of the successors that share the bits
+                while j < len(self.twin_at) and self.twin_at[j] == at[k] + (j - first[k]) and (self.twin[j] >> np.uint64(64 - TOP)) == (w[k] >> np.uint64(64 - TOP)):
+                    found = self.twin_at[j] if self.twin[j] == w[k] else found
+                    j += 1
+                at[k] = found
         out = np.zeros(len(w))
         some = at >= 0
         out[some] = 10.0 ** self.book[self.code[at[some]]].astype(float)
@@ -216,18 +238,23 @@ def _file(path: str, k: int) -> str:
     return f"{path}/shard-{k:06d}.eft"
 
 
+def _place(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and the name in it; s3a is the name that Spark gives to s3."""
+    return pafs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path)
+
+
 def write_file(path: str, data: bytes) -> None:
     """Whole or not at all, so that a task that runs twice does no harm."""
-    fs, name = pafs.FileSystem.from_uri(path)
+    fs, name = _place(path)
     fs.create_dir(os.path.dirname(name), recursive=True)
-    own = f"{name}.{os.getpid()}"
+    own = f"{name}.{uuid.uuid4().hex}"  # of this attempt alone, wherever it runs
     with fs.open_output_stream(own) as f:
         f.write(data)
     fs.move(own, name)
 
 
 def map_file(path: str) -> np.ndarray:
-    fs, name = pafs.FileSystem.from_uri(path)
+    fs, name = _place(path)
     if fs.type_name == "local":
         return np.memmap(name, np.uint8, "r")
     with fs.open_input_file(name) as f:
@@ -325,7 +352,7 @@ def train(df: DataFrame, path: str, text: str = "text") -> tuple[int, int, int]:
             cols += [np.concatenate([r[k] for r in two]) if two else np.empty(0, np.uint64 if k < 2 else np.int64) for k in range(3)]
             levels = build_shard(*cols)
             write_file(_file(path, shard), to_bytes(levels))
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(levels["count"].sum())], pa.int64()), pa.array([int((levels["count"] > 0).sum())], pa.int64())], names=["shard", "n", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([int(levels["n"][0])], pa.int64()), pa.array([int(levels["n"][1])], pa.int64())], names=["shard", "n", "v"])
 
         last, rows = None, []
         for batch in batches:
@@ -405,9 +432,9 @@ def score_texts(df: DataFrame, path: str, shards: int, n_all: int, v_all: int, t
                 c, w = pair // len(ids), pair % len(ids)
                 count, h = word["count"].view, hashes.view
                 own = np.zeros(len(pair))
-                lo, hi = word["lo"].view[c], word["hi"].view[c]
+                keyed, lo, hi = word["key"].view[c], word["lo"].view[c], word["hi"].view[c]
                 for s, at in _groups(deal(h[c])):
-                    own[at] = _shard(path, s).bigrams(lo[at], hi[at], h[w[at]])
+                    own[at] = _shard(path, s).bigrams(keyed[at], lo[at], hi[at], h[w[at]])
                 uni = (count[w] + 1) / (n_all + v_all + 1)
                 p = np.log10(own + word["rest"].view[c] * uni)[which]
                 base = np.log10((count[token] + 1) / (n_all + v_all + 1))
@@ -428,6 +455,11 @@ def _groups(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def op3_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    A null id is in the fold of the empty text, and so never held out; null and empty texts are an end alone; repeated rows get a row each and
+    teach as often; texts of any length are read whole; without training documents every token has probability 1.
+    """
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     path = shared_dir(spark)
     model = train(docs.filter(fold("doc_id", 7) != 2), path)

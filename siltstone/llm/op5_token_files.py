@@ -75,7 +75,7 @@ class WordEncoder:
     """Ids of whole texts under a vocabulary that drops white space; keeps the ids of each distinct word it has met."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path)
+        self.pieces = Pieces.of(path)
         self._empty()
 
     def _empty(self) -> None:

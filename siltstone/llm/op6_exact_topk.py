@@ -3,25 +3,29 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 #: Rows of a block of candidates and of queries.
 CANDIDATES, QUERIES = 4096, 1024
-#: Bytes of query vectors that are broadcast; more of them meet the candidates by shuffle, a block at a time.
+#: Bytes of query vectors that go to every task at once; more of them take turns.
 BROADCAST = 32 << 20
 #: Dimensions added to the sums at a time.
 DIMS = 16
 EXACT = float(2**53)
 
 
-def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best candidates of each query: (query, candidate, score), exact where products fit in 53 bits."""
+def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best candidates of each query: (query, candidate, score), exact where products fit in 53 bits.
+
+    least: what a score must reach to be of use to each query, from blocks searched before.
+    """
     order = np.argsort(c_ids, kind="stable")  # so that the first of equal scores has the smaller id
     c_ids, c = c_ids[order], c[order]
     if c.size and q.size and np.abs(q).max() * np.abs(c).max() * q.shape[1] >= EXACT:
@@ -36,6 +40,7 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
     tail_c = {at: np.sqrt((columns[at:] ** 2).sum(0)) for at in steps}
     first = q[:, :DIMS] @ columns[:DIMS]
     out = []
+    least = np.full(len(q_ids), -np.inf) if least is None else least
     for i, (own, vector) in enumerate(zip(q_ids, q)):
         alive = np.flatnonzero(c_ids != own)
         acc = first[i, alive]
@@ -43,9 +48,9 @@ def _search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
             if at:
                 acc = acc + vector[at : at + DIMS] @ columns[at : at + DIMS, alive]
             rest = at + DIMS
-            if rest < len(columns) and len(alive) > k:
+            if rest < len(columns) and (len(alive) > k or least[i] > -np.inf):
                 mass = np.sqrt((vector[rest:] ** 2).sum()) * tail_c[rest][alive] * (1 + 1e-9)
-                floor = np.partition(acc - mass, len(alive) - k)[len(alive) - k]
+                floor = max(least[i], np.partition(acc - mass, len(alive) - k)[len(alive) - k] if len(alive) > k else -np.inf)
                 keep = acc + mass >= floor
                 alive, acc = alive[keep], acc[keep]
         best = np.lexsort((alive, -acc))[:k]
@@ -70,82 +75,71 @@ def top_inner_products(df: DataFrame, is_query: Column, k: int = 10, key: str =
 
     Components become floor(scale * x) and scores are their integer inner products. Rows with a null key, or a vector
     that is null or holds a null or non-finite component, take no part; a query's own key is no candidate for it; only
-    vectors of as many dimensions are compared. Ties go to the smaller key; repeated rows are candidates each. Queries
-    whose vectors fit in BROADCAST bytes go to every task, which keeps the k best of each; more of them meet the candidates
-    by shuffle in blocks of bounded size. Scores beyond a long are the nearest long.
+    vectors of as many dimensions are compared. Ties go to the smaller key; repeated rows are candidates each, and a query
+    that comes several times is asked once, by its least vector of each size. Queries go to every task, which keeps the k
+    best of each and what a further candidate must reach; where they are more than BROADCAST bytes, in turns, each a pass
+    over the candidates whose results are written before the next. Scores beyond a long are the nearest long.
     """
     x = F.transform(F.col(f"`{vector}`"), lambda v: F.floor(v.cast("double") * scale).cast("double"))
     bad = F.exists(F.col(f"`{vector}`"), lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf")))
     rows = df.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{vector}`").alias("v"), x.alias("x"), is_query.alias("q"), bad.alias("bad"))
     rows = rows.filter("id is not null and v is not null and not bad").select("id", "x", F.size("x").alias("dim"), F.coalesce("q", F.lit(False)).alias("q"))
 
-    def pack(size: int):
+    def scan(held):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, list] = {}
-            for batch in batches:
-                dim, ids = batch.column(2).to_numpy(), batch.column(0).to_numpy()
-                for d in np.unique(dim):
-                    at = np.flatnonzero(dim == d)
-                    flat = batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d)
-                    own = held.setdefault(int(d), [])
-                    own.append((ids[at], flat))
-                    if sum(len(i) for i, _ in own) >= size:
-                        yield from blocks(int(d), held.pop(int(d)))
-            for d, own in held.items():
-                yield from blocks(d, own)
-
-        def blocks(d: int, own: list) -> Iterator[pa.RecordBatch]:
-            ids, flat = np.concatenate([i for i, _ in own]), np.concatenate([f for _, f in own])
-            for at in range(0, len(ids), size):
-                yield pa.RecordBatch.from_pylist([{"dim": d, "n": len(ids[at : at + size]), "ids": ids[at : at + size].astype("<i8").tobytes(), "x": flat[at : at + size].astype("<f8").tobytes()}], schema=pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("x", pa.binary())]))
+            best = {d: [(np.empty(0, np.int64),) * 3 for _ in range(0, len(ids), QUERIES)] for d, (ids, _) in held.value.items()}
+            least = {d: np.full(len(ids), -np.inf) for d, (ids, _) in held.value.items()}
+            for big in batches:
+                for at in range(0, big.num_rows, CANDIDATES):
+                    batch = big.slice(at, CANDIDATES)
+                    ids, dim = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                    for d in np.unique(dim):
+                        if d not in held.value:
+                            continue
+                        some = np.flatnonzero(dim == d)
+                        x = batch.column(1).take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
+                        q_ids, q = held.value[d]
+                        for b in range(0, len(q_ids), QUERIES):
+                            own = slice(b, b + QUERIES)
+                            new = _search(q_ids[own], q[own], ids[some], x, k, least[d][own])
+                            query, candidate, score = best[d][b // QUERIES] = _first(*(np.concatenate(z) for z in zip(best[d][b // QUERIES], new)), k)
+                            # queries with k candidates ask of others at least the worst of these
+                            name, first, n = np.unique(query, return_index=True, return_counts=True)
+                            full = n == k
+                            at_query = b + np.searchsorted(q_ids[own], name[full])
+                            least[d][at_query] = score[first[full] + k - 1]
+            for parts in best.values():
+                for part in parts:
+                    yield pa.RecordBatch.from_arrays([pa.array(z) for z in part], names=["query_id", "vec_id", "score"])
 
         return run
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                q_ids, c_ids = np.frombuffer(r["q_ids"], "<i8"), np.frombuffer(r["ids"], "<i8")
-                a, b, s = _search(q_ids, np.frombuffer(r["q_x"], "<f8").reshape(len(q_ids), r["dim"]), c_ids, np.frombuffer(r["x"], "<f8").reshape(len(c_ids), r["dim"]), k)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(s)], names=["query_id", "vec_id", "score"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = (np.empty(0, np.int64),) * 3
-        for big in batches:
-            for at in range(0, big.num_rows, CANDIDATES):
-                batch = big.slice(at, CANDIDATES)
-                ids, dim = batch.column(0).to_numpy(), batch.column(2).to_numpy()
-                for d in np.unique(dim):
-                    if d not in held.value:
-                        continue
-                    some = np.flatnonzero(dim == d)
-                    x = batch.column(1).take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).reshape(len(some), d)
-                    q_ids, q = held.value[d]
-                    for b in range(0, len(q_ids), QUERIES):
-                        new = _search(q_ids[b : b + QUERIES], q[b : b + QUERIES], ids[some], x, k)
-                        best = _first(*(np.concatenate(z) for z in zip(best, new)), k)
-        yield pa.RecordBatch.from_arrays([pa.array(z) for z in best], names=["query_id", "vec_id", "score"])
+    def turn(asked: DataFrame) -> DataFrame:
+        got = asked.sort("id", "x").toArrow()  # BROADCAST bytes at most
+        dim, own = got.column("dim").to_numpy(), {}
+        for d in np.unique(dim):
+            t = got.filter(pa.array(dim == d))
+            ids, first = np.unique(t.column("id").to_numpy(), return_index=True)  # a repeated query is asked once
+            own[int(d)] = ids, t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, d)[first]
+        return rows.select("id", "x", "dim").mapInArrow(scan(df.sparkSession.sparkContext.broadcast(own)), found)
 
     found = "query_id long, vec_id long, score long"
     asked = rows.filter("q").select("id", "x", "dim")
     there = asked.agg(F.count("*").alias("n"), F.sum("dim").alias("numbers")).first()
-    # a stated query set against all rows, block by block
-    if 8 * (there["numbers"] or 0) <= BROADCAST:
-        got = asked.toArrow()
-        dim = got.column("dim").to_numpy()
-        own = {int(d): got.filter(pa.array(dim == d)) for d in np.unique(dim)}
-        held = df.sparkSession.sparkContext.broadcast({d: (t.column("id").to_numpy(), t.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, d)) for d, t in own.items()})
-        best = rows.select("id", "x", "dim").mapInArrow(scan, found)
+    # a stated query set against all rows, block by block; the smaller side, the queries, goes to the candidates
+    turns = -(-8 * (there["numbers"] or 0) // BROADCAST)
+    if turns <= 1:
+        best = turn(asked)
     else:
-        fields, turns = "dim int, n int, ids binary, x binary", -(-there["n"] // QUERIES)
-        blocks = rows.select("id", "x", "dim").mapInArrow(pack(CANDIDATES), fields).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-        asked = asked.mapInArrow(pack(QUERIES), fields).select(F.pmod(F.xxhash64("ids"), F.lit(turns)).cast("int").alias("turn"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
-        met = blocks.join(asked, "turn").filter("dim = q_dim").select("dim", "ids", "x", "q_ids", "q_x")
-        best = met.mapInArrow(pairs, found)
+        dealt = saved(asked.withColumn("turn", F.pmod(F.xxhash64("id"), F.lit(2 * turns))))  # so a turn's queries stay below BROADCAST, as hashes deal them
+        best = reduce(DataFrame.unionByName, [saved(turn(dealt.filter(F.col("turn") == t).drop("turn"))) for t in range(2 * turns)])
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id and score of the 10 best rows for each query; null ids, and vectors that are null or hold null
+    or non-finite components, take no part; ties go to the smaller id; an empty table gives no rows."""
     return top_inner_products(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 100 == 0)
 
 

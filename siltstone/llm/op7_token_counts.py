@@ -27,7 +27,7 @@ class Counter:
     """Token counts of texts; keeps the piece count of each distinct pre-token it has met."""
 
     def __init__(self, path: str):
-        self.pieces = Pieces(path)
+        self.pieces = Pieces.of(path)
         self.cut = self.pieces.library.pre_tokenizer
         specials = [t.content for t in self.pieces.library.get_added_tokens_decoder().values()]
         self.special = regex.compile("|".join(map(regex.escape, sorted(specials, key=len, reverse=True)))) if specials else None

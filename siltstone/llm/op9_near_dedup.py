@@ -1,6 +1,6 @@
 """Near-duplicate documents: bottom-k sketches of shingle hashes, inverted lists, exact Jaccard.
 
-1. Documents with the same words in the same order are a class; its least id stands for it from here on.
+1. Documents with the same words in the same order are a class; one row of it stands for it from here on.
 2. A sketch holds the k least hashes of a document's shingles, all under one hash function. Two documents with
    similarity >= t share at least c of their retained values, c lying 6.4 standard deviations below k * t (sets that fit
    into a sketch need t of themselves: no chance there). So, with a sketch's values in order of how many sketches hold
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Grown, Ids, lean, saved, slices, table, words
+from .common import Grown, Ids, lean, saved, slices, table, with_row_key, words
 from .graph import components
 
 K = 64
@@ -86,22 +86,22 @@ def least_common(k: int, t: float) -> int:
     return max(1, math.floor(k * t - 6.4 * math.sqrt(k * t * (1 - t))))
 
 
-def sketches(df: DataFrame, doc_id: str, text: str, n: int, k: int) -> DataFrame:
-    """doc_id, key of the word sequence (null without words), n_shingles and the k least hashes of each row."""
+def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
+    """doc_id, file and row of each row, the key of its word sequence (null without words), n_shingles and the k least hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for big in batches:
-            for batch in slices(big, 1):
-                tokens = [words(text.as_py()) for text in batch.column(1)]
+            for batch in slices(big, "text"):
+                tokens = [words(text.as_py()) for text in batch.column("text")]
                 sets = shingles.many(tokens)
                 keys = [class_key(t) if t else None for t in tokens]
                 sizes = [len(s) for s in sets]
                 least = [s[:k].view(np.int64) for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "key", "n_shingles", "sketch"])
+                own = [batch.column(c) for c in ("doc_id", "__file", "__row")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "file", "row", "key", "n_shingles", "sketch"])
 
-    docs = lean(df).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, key binary, n_shingles long, sketch array<long>")
+    return lean(docs).mapInArrow(run, "doc_id long, file long, row long, key binary, n_shingles long, sketch array<long>")
 
 
 def _enough(a: np.ndarray, b: np.ndarray, na: int, nb: int, k: int, t: float) -> bool:
@@ -127,49 +127,79 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, n: int, k: int
             na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             sa, sb = batch.column(4), batch.column(5)
             keep = [i for i in range(batch.num_rows) if _enough(sa[i].values.to_numpy(), sb[i].values.to_numpy(), na[i], nb[i], k, t)]
-            yield batch.take(pa.array(keep, pa.int64())).select([0, 1, 6, 7])
+            yield batch.take(pa.array(keep, pa.int64())).select([0, 1])
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 batch = big.slice(at, 500)
-                own: dict[bytes, list[bytes]] = {}
-                keep, rows = [], batch.to_pylist()
-                for r in rows:
-                    for key, text in ((r["ka"], r["ta"]), (r["kb"], r["tb"])):
-                        if key not in own and class_key(tokens := words(text)) == key:  # an id may have several texts
-                            own[key] = tokens
+                own: dict[int, list[bytes]] = {}
+                for c in "ab":
+                    for rep, text in zip(batch.column(c).to_pylist(), batch.column(f"t{c}")):
+                        if rep not in own:
+                            own[rep] = words(text.as_py())
                 sets = dict(zip(own, shingles.many(list(own.values()))))
-                for i, r in enumerate(rows):
-                    a, b = sets.get(r["ka"]), sets.get(r["kb"])
-                    if a is None or b is None:
-                        continue
-                    common = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * common >= percent * (len(a) + len(b) - common):
+                keep = []
+                for i, (x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                    p, q = sets[x], sets[y]
+                    common = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * common >= percent * (len(p) + len(q) - common):
                         keep.append(i)
                 yield batch.take(pa.array(keep, pa.int64())).select(["a", "b"])
 
-    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"), F.col("key").alias(f"k{c}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb", "ka", "kb")
-    near = saved(met.mapInArrow(estimate, "a long, b long, ka binary, kb binary"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    met = near.join(texts.withColumnRenamed("text", "ta"), F.col("a") == F.col("id")).drop("id").join(texts.withColumnRenamed("text", "tb"), F.col("b") == F.col("id")).drop("id")
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    near = saved(met.mapInArrow(estimate, "a long, b long"))
+    texts = _texts(near.select(F.col("a").alias("rep")).unionByName(near.select(F.col("b").alias("rep"))), reps, docs)
+    met = near.join(texts.withColumnRenamed("rep", "a").withColumnRenamed("text", "ta"), "a").join(texts.withColumnRenamed("rep", "b").withColumnRenamed("text", "tb"), "b").select("a", "b", "ta", "tb")
     return met.mapInArrow(exact, "a long, b long").distinct()
 
 
+def _texts(some: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """rep and text of the classes named in `some`, each once, taken from the row that stands for the class."""
+    places = reps.join(some.select("rep").distinct(), "rep", "left_semi").select("rep", "file", "row")
+    return docs.join(places, (docs["__file"] == places["file"]) & (docs["__row"] == places["row"])).select("rep", "text")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; links are pairs with Jaccard >= threshold of n-word shingles.
 
     A text with fewer than n words is one shingle. Null, empty and wordless texts have n_shingles 0 and are linked with
-    nothing; a null id is a component of its own (null, kept). component_id is the least id reachable by links, kept says
-    whether it is the row's own; rows that repeat an id with one text agree. Copies are linked through their class, so a
-    class of any size costs a row each. A hub's documents are compared in blocks, so no task holds all of them.
+    nothing; a row with a null id has a null component and is kept, though its text may link others. component_id is the
+    least id reachable by links, kept says whether it is the row's own; rows that repeat an id with one text agree. Copies
+    are linked through their class, so a class of any size costs a row each. A hub's documents are compared in blocks, so
+    no task holds all of them.
     """
-    docs = lean(df).select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    every = saved(sketches(docs, "doc_id", "text", n, k))
-    rows = every.filter("key is not null and doc_id is not null")
-    reps = saved(rows.groupBy("key").agg(F.min(F.struct("doc_id", "n_shingles", "sketch")).alias("r")).select(F.col("r.doc_id").alias("rep"), "key", F.col("r.n_shingles").alias("n_shingles"), F.col("r.sketch").alias("sketch")))
+    every, components_of = _grouped(df, doc_id, text, n, threshold, k)
+    least = components_of.filter("least is not null").groupBy("component").agg(F.min("least").alias("least"))
+    classes = components_of.select("key", "component").join(least, "component", "left").select("key", "least")
+    out = every.select("doc_id", "key", "n_shingles").join(classes, "key", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def first_of_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8, k: int = K) -> DataFrame:
+    """The rows, all columns, of which one stays for each group of near duplicates: the least id, nulls last, and of several
+    such rows the first in the files. Rows are told apart by their place, so repeated and null ids do no harm. Rows without
+    words are in no group and stay. Empty tables give no rows."""
+    keyed = with_row_key(df)
+    every, components_of = _grouped(keyed, doc_id, text, n, threshold, k)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "file", "row")
+    member = every.filter("key is not null").select("key", place.alias("p"))
+    first = member.groupBy("key").agg(F.min("p").alias("p"))  # of each text, where copies are
+    first = first.join(components_of.select("key", "component"), "key").groupBy("component").agg(F.min("p").alias("p")).select("p.file", "p.row")
+    stay = first.unionByName(every.filter("key is null").select("file", "row"))
+    return keyed.join(stay, (keyed["__file"] == stay["file"]) & (keyed["__row"] == stay["row"]), "left_semi").select(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def _grouped(df: DataFrame, doc_id: str, text: str, n: int, threshold: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sketches, and of each class of equal word sequences its key, component and least id."""
+    keyed = df if "__row" in df.columns else with_row_key(df)
+    docs = keyed.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"), "__file", "__row")
+    every = saved(sketches(docs, n, k))
+    reps = every.filter("key is not null").groupBy("key").agg(F.min(F.struct("file", "row", "n_shingles", "sketch")).alias("r"), F.min("doc_id").alias("least"))
+    reps = saved(reps.select(F.monotonically_increasing_id().alias("rep"), "key", "r.*", "least"))  # numbered once, as written
     c = least_common(k, threshold)
     size = F.size("sketch")
     need = F.when(F.col("n_shingles") <= threshold * (k + 1) - 1, F.ceil(threshold * size - 1e-9)).otherwise(F.lit(c))
@@ -192,10 +222,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", n
     left = left.select("hub", "rep", F.coalesce("rep_component", "rep").alias("component"), F.coalesce("rep_component", "rep").eqNullSafe(F.coalesce("hub_component", "hub")).alias("inner"))
     links = saved(links.unionByName(_joined(left, reps, docs, n, threshold)))
     found = components(links).withColumnRenamed("id", "rep")
-    classes = reps.select("key", "rep").join(found, "rep", "left").select("key", F.coalesce("component", "rep").alias("component"))
-    out = every.select("doc_id", "key", "n_shingles").join(classes, "key", "left")
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return every, saved(reps.select("key", "rep", "least").join(found, "rep", "left").select("key", "least", F.coalesce("component", "rep").alias("component")))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -229,14 +256,14 @@ def _joined(left: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: float)
     percent = round(t * 100)
     many = left.groupBy("hub").agg(F.count_if("inner").alias("g"), F.count_if(~F.col("inner")).alias("o")).filter("o > 0")
     left = left.join(many.select("hub", F.ceil(F.col("g") / BLOCK).cast("int").alias("gb"), F.ceil(F.col("o") / BLOCK).cast("int").alias("ob")), "hub")
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(reps.select("rep", "key"), "rep")
+    texts = _texts(left, reps, docs)
     left = left.withColumn("c", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("gb")).otherwise(F.col("ob"))).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     place = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     among = F.transform(upto("ob"), lambda d: place(F.least("c", d), F.col("gb") + F.greatest("c", d)))
     inner = F.when(F.col("gb") > 0, F.transform(upto("gb"), lambda j: place(F.col("c"), j)))
     places = F.when(F.col("inner"), F.transform(upto("ob"), lambda x: place(x, F.col("c")))).otherwise(F.concat(F.coalesce(inner, F.array().cast("array<struct<x:int,y:int>>")), among))
-    rows = left.join(texts, "rep").withColumn("at", F.explode(places)).select("hub", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "c", "inner", "gb", "rep", "component", "key", "text")
+    rows = left.join(texts, "rep").withColumn("at", F.explode(places)).select("hub", F.col("at.x").alias("x"), F.col("at.y").alias("y"), "c", "inner", "gb", "rep", "component", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(n)
@@ -257,9 +284,7 @@ def _forest(group: pa.Table, shingles: Shingles, percent: int) -> tuple[np.ndarr
     if not row.any() or not column.any():
         return np.empty(0, np.int64), np.empty(0, np.int64)
     tokens = [words(text) for text in group.column("text").to_pylist()]
-    # an id may have several texts
-    keep = np.fromiter((class_key(t) == key for t, key in zip(tokens, group.column("key").to_pylist())), bool, len(tokens))
-    row, column = np.flatnonzero(row & keep), np.flatnonzero(column & keep)
+    row, column = np.flatnonzero(row), np.flatnonzero(column)
     sets = shingles.many(tokens)
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     value, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
@@ -300,4 +325,9 @@ def _forest(group: pa.Table, shingles: Shingles, percent: int) -> tuple[np.ndarr
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document, links at 85 percent of three-word shingles.
+
+    Null, empty and wordless texts have 0 shingles and are their own component; a null id has a null component and is kept;
+    repeated rows get a row each; no documents give no rows.
+    """
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), n=3, threshold=0.85)

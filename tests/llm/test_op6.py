@@ -16,9 +16,9 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("bytes_", [32 << 20, 0])
+@pytest.mark.parametrize("bytes_", [32 << 20, 3000])
 def test_against_all_pairs(spark, monkeypatch, bytes_):
-    monkeypatch.setattr(op6, "BROADCAST", bytes_)  # 0: queries and candidates meet by shuffle
+    monkeypatch.setattr(op6, "BROADCAST", bytes_)  # 3000: some turns
     monkeypatch.setattr(op6, "CANDIDATES", 64)
     monkeypatch.setattr(op6, "QUERIES", 4)
     rng = np.random.default_rng(5)
