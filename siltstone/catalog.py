@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.aliases import canonical, expand, search_terms
-from .functions.text import minimal, normalise, repair_case, tokens
+from .functions.text import clean, line_ends, minimal, nfkc, normalise, repair_case, rules, tidy, tokens
 from .operators import metrics as m
 from .operators.answer import answers
 from .operators.chunk import chunk_rows, split_list, windows
@@ -43,8 +43,9 @@ QUERIES = [
     ("q12", "the and of the", "cohort", None, "Depakote", None, None),
     ("q13", "on levetiracetam then", "cohort", None, "lamictal", None, "2022-01-01"),
     ("q14", "patient 100004 lamotrigine from 2030-01-01 to 2030-02-01", "date_range", None, None, None, None),
+    ("q15", "patient\u00a0100008 from\u20032021-01-01 to\u00a02022-12-31 with seizures", "date_range", None, None, None, None),
 ]
-K = 50
+K, RERANKED = 200, 100
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -92,11 +93,16 @@ def _said(spark: SparkSession, sf: str) -> DataFrame:
     return turns.unionByName(spark.createDataFrame([(q[0], q[1]) for q in QUERIES], "query_id string, query string"))
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
-    """A file per conversation with a dated note per turn; what a turn says about drugs goes round four texts."""
+def files(spark: SparkSession, sf: str, odd: bool = False) -> DataFrame:
+    """A file per conversation with a dated note per turn; what a turn says about drugs goes round four texts.
+
+    odd: a fifth of the files has no line that begins a note, and a quarter of all notes a date that is none.
+    """
     said = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("turn") % 4 + 1).cast("int"))
     day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), F.col("turn").cast("int")), "yyyyMMdd")
-    note = F.concat(F.lit("FILE: t"), F.col("turn").cast("string"), F.lit(".txt | DATE: "), day, F.lit("\n=====\n"), F.coalesce("text", F.lit("")), F.lit("\n"), said, F.lit("\n"))
+    head = F.when(F.col("conv_id") % 5 == 0, "FILED: t").otherwise("FILE: t") if odd else F.lit("FILE: t")
+    day = F.when(F.col("turn") % 4 == 1, "20201345").otherwise(day) if odd else day
+    note = F.concat(head, F.col("turn").cast("string"), F.lit(".txt | DATE: "), day, F.lit("\n=====\n"), F.coalesce("text", F.lit("")), F.lit("\n"), said, F.lit("\n"))
     turns = _table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("patient_id"), "turn", note.alias("note"))
     return turns.groupBy("patient_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "note"))), lambda t: t["note"]), "").alias("content"))
 
@@ -106,12 +112,14 @@ SAID = ["Started Keppra 500 mg tablet PO BID. No seizures since the last visit."
 _FOUND: dict[tuple, Retrieval] = {}
 
 
-def _retrieved(spark: SparkSession, sf: str) -> Retrieval:
-    """The full pipeline over the stated queries; kept for the session, as several queries show parts of it."""
-    key = (spark.sparkContext.applicationId, sf)
+def _retrieved(spark: SparkSession, sf: str, **changed) -> Retrieval:
+    """The full pipeline over the stated queries; kept for the session while the tables' files stay as they are, as several queries show parts of it."""
+    written = tuple(_table(spark, sf, t).select(F.max("_metadata.file_modification_time")).first()[0] for t in ("documents", "embeddings"))
+    key = (spark.sparkContext.applicationId, sf, written, *changed.items())
     if key not in _FOUND:
-        _FOUND.clear()
-        _FOUND[key] = retrieve(queries(spark, sf), chunks(spark, sf), registry(spark, sf), Settings(k_semantic=K, k_lexical=K, n_rerank=K))
+        if len(_FOUND) > 3:
+            _FOUND.clear()
+        _FOUND[key] = retrieve(queries(spark, sf), chunks(spark, sf), registry(spark, sf), Settings(k_semantic=K, k_lexical=K, n_rerank=RERANKED, **{k: v for k, v in changed.items() if k != "rerank"}), **({"rerank": None} if changed.get("rerank") == "failed" else {}))
     return _FOUND[key]
 
 
@@ -124,12 +132,12 @@ def _benchmark_results(spark: SparkSession, sf: str) -> DataFrame:
     return bm25(_benchmark(spark, sf), docs.select(F.lit(0).alias("scope_id"), "vector_id"), docs, K)
 
 
-def _metrics(spark: SparkSession, sf: str) -> DataFrame:
-    """Relevant to item n are the documents of quality 1 whose id has n's last digit."""
+def _metrics(spark: SparkSession, sf: str, answered: Column | None = None) -> DataFrame:
+    """Relevant to item n are the documents of quality 1 whose id has n's last digit. answered: which items have results."""
     good = _table(spark, sf, "labels").filter("quality = 1").select((F.col("doc_id") % 10).alias("d"), F.col("doc_id").cast("string").alias("c")).groupBy("d").agg(F.collect_set("c").alias("relevant"))
     q = _benchmark(spark, sf).withColumn("d", F.col("query_id").cast("long") % 10).join(good, "d", "left")
     q = q.select("query_id", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"), F.concat(F.lit("type"), (F.col("d") % 3).cast("string")).alias("intent_type"))
-    results = _benchmark_results(spark, sf).select("query_id", F.col("vector_id").cast("string").alias("chunk_id"), F.col("rank_lexical").alias("rank"))
+    results = _benchmark_results(spark, sf).filter(F.lit(True) if answered is None else answered).select("query_id", F.col("vector_id").cast("string").alias("chunk_id"), F.col("rank_lexical").alias("rank"))
     return m.ranking_metrics(q, results).join(q.select("query_id", "intent_type"), "query_id")
 
 
@@ -144,12 +152,47 @@ def registry_scan(spark, sf):
     return registry(spark, sf)
 
 
+#: Lines in which the rewrites find something to do; a document gets the one that its id says, after its own text.
+LINES = [
+    "Seen **/**/**** by ****** today, on **-**-****.", "x\u00a0y\u2003\u2002z \u2013 \u2014 end", "Is it? \nyes ? no\n  ?? \n really?? ok ???maybe", "\u2022 one\n- two\n  - three\n> four",
+    "Keppra 500MG and 5mL, 20 mcg, 3 G 2l 400 mg / 5 ml x", "Name" + " " * 90 + ": value\nHistory of Present Illness:  he came\n\nVitals: ok\nA: b", "BP 120/80 | Pulse 70 | Temp 98\nnone | here",
+    "Take 2 tablet (500 mg total) PO BID prn Q6H mIVF iv im SQ qhs\ntid QD \u00e9iv QID", "tail   \t\n\n\n\nlast \t  word", "lamoTRIgine Was GIVEN by Iv, XR and Er",
+]
+
+
+def noted(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id and the document's text with a line for the rewrites."""
+    line = F.element_at(F.array(*map(F.lit, LINES)), (F.col("doc_id") % len(LINES) + 1).cast("int"))
+    return _table(spark, sf, "documents").select("doc_id", line_ends(F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), line)).alias("text"))
+
+
+def _rewritten(first: int, end: int) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf: noted(spark, sf).select("doc_id", rules(first, end)(F.col("text")).alias("text"))
+
+
+#: Groups of rewrites, by their numbers, each a query.
+GROUPS = {"text_redaction": (0, 3), "text_blanks": (3, 5), "text_questions": (5, 8), "text_bullets": (8, 9), "text_units": (9, 11), "text_headings": (11, 12), "text_vitals": (12, 13), "text_annotations": (13, 25), "text_tablets": (25, 26), "text_spaces": (26, 29)}
+
+
+def text_tidy(spark, sf):
+    return noted(spark, sf).select("doc_id", tidy(F.col("text")).alias("text"))
+
+
+def text_chain(spark, sf):
+    """All steps but the Unicode form, which SQL can't express."""
+    return noted(spark, sf).select("doc_id", clean(F.col("text")).alias("text"))
+
+
 def text_rules(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", normalise(F.col("text")).alias("text"))
 
 
+def text_nfkc(spark, sf):
+    return _table(spark, sf, "documents").select("doc_id", nfkc(F.col("text")).alias("text"))
+
+
 def text_minimal(spark, sf):
-    return _table(spark, sf, "documents").select("doc_id", minimal(F.col("text"), unicode=False).alias("text"))
+    return _table(spark, sf, "documents").select("doc_id", minimal(F.col("text")).alias("text"))
 
 
 def case_repair(spark, sf):
@@ -233,7 +276,7 @@ def bm25_benchmark(spark, sf):
 
 def merge_minmax(spark, sf):
     r = _retrieved(spark, sf)
-    return merge_candidates(r.semantic, r.lexical, K).select("query_id", "vector_id", "rank_initial", "score_semantic", "score_lexical", "score_combined_initial", *[F.round(c, 6).alias(c) for c in ("score_semantic_norm", "score_lexical_norm")])
+    return merge_candidates(r.semantic, r.lexical, RERANKED).select("query_id", "vector_id", "rank_initial", "score_semantic", "score_lexical", "score_combined_initial", *[F.round(c, 6).alias(c) for c in ("score_semantic_norm", "score_lexical_norm")])
 
 
 def average_ranks(spark, sf):
@@ -248,6 +291,21 @@ def retrieval(spark, sf):
     return _retrieved(spark, sf).results.select("query_id", "vector_id", "rank", "chunk_id", "med_match_group", "has_target_med", "rank_ce", "score_boosts", "score_final", *[F.round(c, 6).alias(c) for c in _SCORES])
 
 
+_FEW = ["query_id", "vector_id", "rank", "score_final"]
+
+
+def retrieval_prefiltered(spark, sf):
+    return _retrieved(spark, sf, prefilter=True).results.select(*_FEW)
+
+
+def retrieval_without_reranker(spark, sf):
+    return _retrieved(spark, sf, rerank="failed").results.select(*_FEW, "score_ce", "rank_ce", "score_ce_norm")
+
+
+def retrieval_fallback(spark, sf):
+    return _retrieved(spark, sf, unscoped_fallback=True).results.select(*_FEW)
+
+
 def registry_join(spark, sf):
     r = _retrieved(spark, sf)
     return with_registry(r.results, registry(spark, sf)).select("query_id", "rank", "row_id", "medication", "medication_registry", "patient_id_registry", "note_id_registry", F.length("note_text").alias("note_chars"))
@@ -261,13 +319,17 @@ def audit_trail(spark, sf):
 
 def prompt_answers(spark, sf):
     q = with_intent(queries(spark, sf))
-    return answers(_retrieved(spark, sf).results, q).withColumn("sources", F.array_join("sources", "|"))
+    return answers(_retrieved(spark, sf).results, q).withColumn("sources", F.array_join("sources", "|")).withColumn("chunks", F.array_join("chunks.chunk_id", "|"))
 
 
 def ranking_measures(spark, sf):
     return _metrics(spark, sf).select("query_id", "n_relevant", "n_retrieved", "precision", "recall", "rr", "ap")
 
 
+def measures_of_failed(spark, sf):
+    return _metrics(spark, sf, F.col("query_id").cast("long") % 3 != 0).select("query_id", "n_relevant", "n_retrieved", "precision", "recall", "rr", "ap")
+
+
 def measure_summary(spark, sf):
     return m.summary(_metrics(spark, sf))
 
@@ -288,6 +350,10 @@ def statistics_matrix(spark, sf):
     return m.heat_map(_stats(spark, sf))
 
 
+def score_points(spark, sf):
+    return m.score_points(_retrieved(spark, sf).results).groupBy("query_id", "score").agg(F.count("*").alias("n"))
+
+
 def export_rows(spark, sf):
     return m.export_summary(queries(spark, sf), _retrieved(spark, sf).results)
 
@@ -330,6 +396,14 @@ def note_split(spark, sf):
     return split_notes(files(spark, sf), unicode=False, cleaned=False)
 
 
+def note_split_odd(spark, sf):
+    return split_notes(files(spark, sf, odd=True), unicode=False, cleaned=False)
+
+
+def note_split_cleaned(spark, sf):
+    return split_notes(files(spark, sf), unicode=False)
+
+
 def registry_build(spark, sf):
     r = build_registry(split_notes(files(spark, sf)))
     return r.select("row_id", "note_id", "note_date", "medication", "medication_dosage", "intake_times_per_day", "drug_mention_count", "medication_effectiveness", "seizure_status", "seizure_symptoms", "route", "form")
@@ -359,9 +433,9 @@ def out_of_scope_results(spark, sf):
 SHOWN: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        registry_scan, text_rules, text_minimal, case_repair, tokenize, term_statistics, paragraph_windows, chunk_table, symptom_split, alias_lookup, intent_parse, query_expand, scope_relax, scope_filters, l2_normalize,
-        vector_topk, vector_topk_scoped, vector_topk_prefiltered, bm25_scoped, bm25_benchmark, merge_minmax, average_ranks, retrieval, registry_join, audit_trail, prompt_answers, ranking_measures, measure_summary,
-        score_statistics, statistics_by_type, statistics_overall, statistics_matrix, export_rows, patient_summary, top_medications, top_medications_by_patient, registry_totals, chunk_totals, type_distribution,
-        row_numbers, vector_numbers, note_split, registry_build, filters_json, unlinked_chunks, shared_between_patients, out_of_scope_results,
+        registry_scan, text_rules, text_chain, text_tidy, text_nfkc, text_minimal, case_repair, tokenize, term_statistics, paragraph_windows, chunk_table, symptom_split, alias_lookup, intent_parse, query_expand, scope_relax, scope_filters, l2_normalize,
+        vector_topk, vector_topk_scoped, vector_topk_prefiltered, bm25_scoped, bm25_benchmark, merge_minmax, average_ranks, retrieval, retrieval_prefiltered, retrieval_without_reranker, retrieval_fallback, registry_join, audit_trail, prompt_answers, ranking_measures, measures_of_failed, measure_summary,
+        score_statistics, statistics_by_type, statistics_overall, statistics_matrix, score_points, export_rows, patient_summary, top_medications, top_medications_by_patient, registry_totals, chunk_totals, type_distribution,
+        row_numbers, vector_numbers, note_split, note_split_odd, note_split_cleaned, registry_build, filters_json, unlinked_chunks, shared_between_patients, out_of_scope_results,
     )
-}
+} | {name: _rewritten(*group) for name, group in GROUPS.items()}

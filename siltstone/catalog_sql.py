@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .catalog import QUERIES, SAID, K
+from .catalog import GROUPS, LINES, QUERIES, RERANKED, SAID, K
 from .functions.aliases import NAMES
 from .functions.text import KEPT_UPPER
-from .operators.answer import ASK, CHARS, SOURCES
-from .operators.intent import DAY, FAILED, NEGATED, PATIENT, SYMPTOMS, WORKED
+from .operators.answer import ASK, CHARS, CITED, SOURCES
+from .operators.intent import DAY, FAILED, NEGATED, PATIENT, SEIZURE_WORDS, SPAN, SYMPTOMS, WORKED
 
 
 def _text(x: str | None) -> str:
@@ -46,16 +46,18 @@ ASKED = f"""asked AS (
 
 
 def _intent(source: str) -> str:
-    pid = ", ".join(f"nullif(regexp_extract(l, '{p}', 1), '')" for p in PATIENT)
+    # classes as Unicode has them, which this dialect spells out
+    wide = lambda p: p.replace("\\s", "[\\s\\p{Z}\\x0b\\x{85}]").replace("\\d", "\\p{Nd}")
+    pid = ", ".join(f"nullif(regexp_extract(l, '{wide(p)}', 1), '')" for p in PATIENT)
     drug = "CASE " + " ".join(f"WHEN {_any('l', names)} THEN {_text(c)}" for c, names in NAMES.items()) + " END"
-    span = f"from\\s+({DAY})\\s+to\\s+({DAY})"
+    span, day = wide(SPAN), wide(DAY)
     return f"""i AS (
   SELECT *, CASE WHEN patient_id IS NOT NULL THEN 'patient_specific' WHEN medication IS NOT NULL THEN 'cohort' ELSE 'general' END AS intent_type FROM (
     SELECT *, coalesce({pid}) AS patient_id, {drug} AS medication,
-      coalesce(nullif(regexp_extract(l, '{span}', 1), ''), nullif(regexp_extract(l, '({DAY})', 1), '')) AS date_start, nullif(regexp_extract(l, '{span}', 2), '') AS date_end,
+      coalesce(nullif(regexp_extract(l, '{span}', 1), ''), nullif(regexp_extract(l, '({day})', 1), '')) AS date_start, nullif(regexp_extract(l, '{span}', 2), '') AS date_end,
       array_to_string(list_filter({_list(SYMPTOMS)}, lambda s: contains(l, s)), '|') AS symptoms,
       CASE WHEN {_any('l', WORKED)} THEN 'successful' WHEN {_any('l', FAILED)} THEN 'refractory' END AS effectiveness,
-      CASE WHEN {_any('l', ['seizure', 'convulsion', 'ictal'])} THEN CASE WHEN {_any('l', NEGATED)} THEN 'negative' ELSE 'positive' END END AS seizure_status
+      CASE WHEN {_any('l', SEIZURE_WORDS)} THEN CASE WHEN {_any('l', NEGATED)} THEN 'negative' ELSE 'positive' END END AS seizure_status
     FROM (SELECT *, lower(coalesce(query, '')) AS l FROM {source})))"""
 
 
@@ -93,8 +95,11 @@ def _ranked(source: str, score: str, k: int, name: str, part: str = "query_id")
     return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY {part} ORDER BY {score} DESC, vector_id) AS INTEGER) AS {name} FROM {source}) WHERE {name} <= {k}"
 
 
-SEMANTIC = f"""v3 AS (SELECT * FROM ({_ranked('(SELECT query_id, c.vector_id, ' + _dot('asked.embedding', 'c.embedding') + ' AS score_semantic FROM asked JOIN c ON asked.embedding IS NOT NULL AND c.embedding IS NOT NULL)', 'score_semantic', 3 * K, 'r3')})),
+_PAIRS = "(SELECT query_id, c.vector_id, " + _dot("asked.embedding", "c.embedding") + " AS score_semantic FROM asked JOIN c ON asked.embedding IS NOT NULL AND c.embedding IS NOT NULL)"
+_INSIDE = "(SELECT s.query_id, s.vector_id, " + _dot("asked.embedding", "c.embedding") + " AS score_semantic FROM s JOIN asked USING (query_id) JOIN c USING (vector_id) WHERE asked.embedding IS NOT NULL AND c.embedding IS NOT NULL)"
+SEMANTIC = f"""v3 AS (SELECT * FROM ({_ranked(_PAIRS, 'score_semantic', 3 * K, 'r3')})),
 sem AS ({_ranked('(SELECT v3.query_id, v3.vector_id, score_semantic FROM v3 SEMI JOIN s ON s.query_id = v3.query_id AND s.vector_id = v3.vector_id)', 'score_semantic', K, 'rank_semantic')})"""
+PREFILTERED = f"sem AS ({_ranked(_INSIDE, 'score_semantic', K, 'rank_semantic')})"
 _EXPANDED = (
     "concat_ws(' ', query, "
     + ", ".join(f"CASE WHEN {_any('q', names)} THEN concat_ws(' ', " + ", ".join(f"CASE WHEN q <> {_text(a)} THEN {_text(a)} END" for a in names) + ") END" for names in NAMES.values())
@@ -118,21 +123,23 @@ lex AS ({_ranked('(SELECT sc.query_id, sc.vector_id, coalesce(score, 0.0) AS sco
 
 LEXICAL = f"eq AS (SELECT query_id, {_EXPANDED} AS query FROM (SELECT query_id, query, {_NORMAL.format('query')} AS q FROM asked)),\n" + _bm25("eq", "s", "c", K)
 _MM = "CASE WHEN min({0}) OVER w = max({0}) OVER w THEN {0} ELSE ({0} - min({0}) OVER w) / (max({0}) OVER w - min({0}) OVER w) END"
-MERGED = (
-    SCOPE + ",\n" + SEMANTIC + ",\n" + LEXICAL + f""",
+_NORM_MED = _NORMAL.format("medication")
+_OVERLAP = "coalesce(common / nullif(len(qa) + len(qb) - common, 0), 0.0)"
+
+
+def _final(semantic: str = SEMANTIC, ce: str = _OVERLAP) -> str:
+    """All steps of the retrieval, with one of the two ways to search vectors and a reranker's score."""
+    merged = SCOPE + ",\n" + semantic + ",\n" + LEXICAL + f""",
 outer_join AS (SELECT query_id, vector_id, score_semantic, score_lexical, coalesce(score_semantic, 0) AS a, coalesce(score_lexical, 0) AS b FROM sem FULL JOIN lex USING (query_id, vector_id)),
 scaled AS (SELECT *, {_MM.format('a')} AS score_semantic_norm, {_MM.format('b')} AS score_lexical_norm FROM outer_join WINDOW w AS (PARTITION BY query_id)),
-merged AS ({_ranked('(SELECT *, round(0.6 * score_semantic_norm + 0.4 * score_lexical_norm, 9) AS score_combined_initial FROM scaled)', 'score_combined_initial', K, 'rank_initial')})"""
-)
-_NORM_MED = _NORMAL.format("medication")
-FINAL = (
-    MERGED + f""",
+merged AS ({_ranked('(SELECT *, round(0.6 * score_semantic_norm + 0.4 * score_lexical_norm, 9) AS score_combined_initial FROM scaled)', 'score_combined_initial', RERANKED, 'rank_initial')})"""
+    return merged + f""",
 pair AS (
   SELECT merged.*, c.* EXCLUDE (vector_id, embedding, text), text, asked.query, i.medication AS target, list_distinct({_WORDS.format('asked.query')}) AS qa, list_distinct({_WORDS.format('c.text')}) AS qb
   FROM merged JOIN c USING (vector_id) JOIN asked USING (query_id) JOIN i USING (query_id)),
 scored AS (SELECT *, len(list_intersect(qa, qb)) AS common FROM pair),
 flagged AS (
-  SELECT *, coalesce(common / nullif(len(qa) + len(qb) - common, 0), 0.0) AS score_ce, target IS NOT NULL AS has_target_med,
+  SELECT *, {ce} AS score_ce, target IS NOT NULL AS has_target_med,
     coalesce(target IS NOT NULL AND list_contains({_TERMS.format('target')}, {_NORM_MED}), false) AS med_match_group FROM scored),
 rk AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY score_ce DESC) + (count(*) OVER (PARTITION BY query_id, score_ce) - 1) / 2.0 AS rank_ce, count(*) OVER (PARTITION BY query_id) AS n_all FROM flagged),
 fused AS (
@@ -140,7 +147,10 @@ fused AS (
     round(0.01 * has_seizure_info::INT + 0.01 * coalesce(medication_effectiveness = 'successful', false)::INT + 0.2 * med_match_group::INT
       - 0.05 * (has_target_med AND NOT med_match_group AND coalesce(trim(medication) <> '', false))::INT, 9)::DOUBLE AS score_boosts FROM rk),
 final AS ({_ranked('(SELECT *, round(0.6::DOUBLE * score_ce_norm + 0.25::DOUBLE * score_semantic_norm + 0.15::DOUBLE * score_lexical_norm + score_boosts, 9) AS score_final FROM fused)', 'score_final', 10, 'rank')})"""
-)
+
+
+FINAL = _final()
+MERGED = FINAL.partition(",\npair AS (")[0]
 _BENCH = "bq AS (SELECT CAST(item_id AS VARCHAR) AS query_id, text AS query FROM benchmark), bd AS (SELECT doc_id AS vector_id, text FROM documents), bs AS (SELECT query_id, vector_id FROM bq, bd),\n" + _bm25("bq", "bs", "bd", K)
 MEASURES = (
     _BENCH + """,
@@ -182,8 +192,65 @@ _MEAN = lambda c, n: f"round(avg({c}), 6) AS {n}"
 _EXTRACTED = """(VALUES (0, 'keppra', '500 mg', 2.0, 1, 'unknown', 'negative', '', 'po', 'tablet'), (1, 'lamictal', '25 mg', 1.0, 1, 'refractory', 'positive', 'focal|seizures', NULL, NULL),
   (2, 'valproic acid', '250 mg', 3.0, 1, 'successful', 'negative', '', NULL, NULL)) AS x(t, medication, medication_dosage, intake_times_per_day, drug_mention_count, medication_effectiveness, seizure_status, seizure_symptoms, route, form)"""
 
+# The rewrites in this dialect, which looks neither behind nor ahead: what stands beside a match is taken along.
+_W, _S = r"[\p{L}\p{M}\p{Nd}_]", r"[\t-\r \x{85}\p{Z}]"
+_NOT_W = r"([^\p{L}\p{M}\p{Nd}_]|$)"
+
+
+def _re(pattern: str, by: str):
+    return lambda t: f"regexp_replace({t}, {_text(pattern.replace('<S>', _S).replace('<W>', _W).replace('<NOT_W>', _NOT_W))}, {_text(by)}, 'g')"
+
+
+def _word(w: str) -> str:
+    return f"regexp_matches(x, {_text('(?i)(^|[^' + _W[1:-1] + '])' + w + _NOT_W)})"
+
+
+_SHORT = {
+    "BID": "BID (twice daily)", "TID": "TID (three times daily)", "QID": "QID (four times daily)", "QD": "QD (once daily)", "QHS": "QHS (at bedtime)", "PRN": "PRN (as needed)", "PO": "PO (by mouth)",
+    "IV": "IV (intravenous)", "SQ": "SQ (subcutaneous)", "IM": "IM (intramuscular)", "MIVF": "mIVF (intravenous fluids)",
+}
+_PIECES = _text(_W + "+|[^" + _W[1:-1] + "]+")
+
+
+def _annotated(t: str) -> str:
+    known = " ".join(f"WHEN {_text(k)} THEN {_text(v)}" for k, v in _SHORT.items())
+    hours = "regexp_full_match(w, '(?i)q\\p{Nd}+h')"
+    return f"array_to_string(list_transform(regexp_extract_all({t}, {_PIECES}), lambda w: CASE WHEN {hours} THEN 'Q' || w[2:-2] || 'H (every ' || w[2:-2] || ' hours)' ELSE CASE upper(w) {known} ELSE w END END), '')"
+
+
+STEPS = {
+    "text_redaction": [_re(r"\*{2}[/-]\*{2}[/-]\*{4}", "[DATE-REDACTED]"), _re(r"\*{3,}", "[REDACTED]"), _re(r"(?i)(<W>)\[(?:REDACTED|DATE-REDACTED)\](<W>)", r"\1 [REDACTED] \2")],
+    "text_blanks": [_re(r"[\x{A0}\x{2000}-\x{200B}\x{202F}\x{2060}]+", " "), _re(r"[\x{2013}\x{2014}]+", "-")],
+    "text_questions": [_re(r"(?m)^<S>*\?+<S>*$", ""), _re(r"<S>\?<S>", "\n"), _re(r"\?{2,}([^\p{L}\p{M}\p{Nd}_?]|$)", r"\1"), _re(r"\?{2,}(\?<W>)", r"\1")],
+    "text_bullets": [_re(r"(?m)^[\x{2022}\x{25AA}\x{25CF}>\-]<S>*", "")],
+    "text_units": [*[_re(rf"(\p{{Nd}}+)<S>*(?i:{u})<NOT_W>", rf"\1 {u}\2") for u in ("mg", "mcg", "ml", "g", "l", "mcl")], _re(r"(\p{Nd}+)<S>*((?i:mg))<S>*/<S>*(\p{Nd}+)<S>*((?i:ml))<NOT_W>", r"\1 \2/\3 \4\5")],
+    "text_headings": [_re(r"(?i)([A-Z](?:[A-Z/]|<S>){2,}:)<S>*", "\\1\n")],
+    "text_vitals": [lambda t: f"array_to_string(list_transform(string_split({t}, e'\\n'), lambda x: CASE WHEN {_word('bp')} AND {_word('pulse')} THEN replace(x, ' | ', '. ') ELSE x END), e'\\n')"],
+    "text_annotations": [_annotated],
+    "text_tablets": [_re(r"(?i)Take<S>+(\p{Nd}+)<S>+tablet<S>*\((\p{Nd}+<S>*mg)<S>+total\)", r"Take \1 tablet of \2")],
+    "text_spaces": [_re(r"(?m)[ \t]+$", ""), _re(r"\n{3,}", "\n\n"), _re(r"[\t\x0b-\r \x{85}\p{Z}]{2,}", " ")],
+    "text_case": [lambda t: f"array_to_string(list_transform(regexp_extract_all({t}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda w: {_FIX}), '')"],
+    "text_tidy": [_re(r"(?m)[ \x{A0}]+$", ""), _re(r"\n{3,}", "\n\n"), lambda t: _STRIP.format(t)],
+}
+_LINE_ENDS = "replace(replace(replace({0}, e'\\r\\n', e'\\n'), e'\\r', e'\\n'), e'\\t', '    ')"
+_NOTED = "(SELECT doc_id, " + _LINE_ENDS.format(f"coalesce(text, '') || e'\\n' || ({_list(LINES)})[1 + doc_id % {len(LINES)}]") + " AS text FROM documents)"
+
+
+def _steps(text: str, *groups: str) -> str:
+    for g in groups:
+        for step in STEPS[g]:
+            text = step(text)
+    return text
+
+
+_TURNS = f"""SELECT CAST(conv_id AS VARCHAR) AS patient_id, strftime(DATE '2020-01-01' + CAST(turn AS INTEGER), '%Y-%m-%d') AS note_date, turn, {_STRIP.format("coalesce(text, '') || e'" + chr(92) + "n' || (" + _list(SAID) + ")[1 + turn % 4]")} AS note_text FROM conversations"""
+_NUMBERED = """k AS (SELECT *, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY turn) AS INTEGER) AS note_idx FROM t WHERE note_text <> '') SELECT patient_id, note_idx, patient_id || '_' || note_date || '_' || lpad(CAST(note_idx AS VARCHAR), 3, '0') AS note_id, note_date, note_text FROM k"""
+_FOUR = "query_id, vector_id, rank, score_final"
+
 SQL: dict[str, str] = {
     "registry_scan": f"WITH {REGISTRY} SELECT * EXCLUDE (text, doc_id) FROM r",
+    **{name: f"SELECT doc_id, {_steps('text', name)} AS text FROM {_NOTED}" for name in (*GROUPS, "text_tidy")},
+    "text_chain": f"SELECT doc_id, {_steps('text', *GROUPS, 'text_case', 'text_tidy')} AS text FROM {_NOTED}",
     "text_minimal": "SELECT doc_id, regexp_replace(replace(replace(replace(coalesce(text, ''), e'\\r\\n', e'\\n'), e'\\r', e'\\n'), e'\\t', ' '), '(?m)[ \\x{A0}]+$', '', 'g') AS text FROM documents",
     "case_repair": f"SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda w: {_FIX}), '') AS text FROM documents",
     "tokenize": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {_WORDS.format('text')} AS t FROM documents)",
@@ -210,19 +277,25 @@ UNION ALL SELECT query_id, 'medication', {_CANONICAL.format('(' + _MED + ')')} F
     "average_ranks": """WITH x AS (SELECT doc_id, lang, length(text) % 50 AS score FROM documents), y AS (SELECT doc_id, lang, CAST(rank() OVER (PARTITION BY lang ORDER BY score DESC NULLS LAST) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS DOUBLE) AS rank_ce, count(*) OVER (PARTITION BY lang) AS n FROM x)
 SELECT doc_id, rank_ce, round(CASE WHEN n = 1 THEN 1.0 ELSE 1 - (rank_ce - 1) / (n - 1) END, 6) AS score_ce_norm FROM y""",
     "retrieval": f"WITH {FINAL} SELECT query_id, vector_id, rank, chunk_id, med_match_group, has_target_med, CAST(rank_ce AS DOUBLE) AS rank_ce, round(score_ce, 6) AS score_ce, round(score_ce_norm, 6)::DOUBLE AS score_ce_norm, round(score_semantic_norm, 6) AS score_semantic_norm, round(score_lexical_norm, 6) AS score_lexical_norm, score_boosts, score_final FROM final",
+    "retrieval_prefiltered": f"WITH {_final(PREFILTERED)} SELECT {_FOUR} FROM final",
+    "retrieval_without_reranker": f"WITH {_final(ce='0.0::DOUBLE')} SELECT {_FOUR}, score_ce, CAST(rank_ce AS DOUBLE) AS rank_ce, score_ce_norm::DOUBLE AS score_ce_norm FROM final",
+    "retrieval_fallback": f"WITH {FINAL}, lost AS ({_ranked(_PAIRS, 'score_semantic', 10, 'rank')}) SELECT {_FOUR} FROM final UNION ALL SELECT query_id, vector_id, rank, score_semantic FROM lost WHERE query_id NOT IN (SELECT query_id FROM s)",
     "registry_join": f"WITH {FINAL} SELECT query_id, rank, r.row_id, final.medication, r.medication AS medication_registry, r.patient_id AS patient_id_registry, r.note_id AS note_id_registry, CAST(length(r.note_text) AS INTEGER) AS note_chars FROM final LEFT JOIN r ON r.row_id = source_row_id",
     "audit_trail": f"""WITH {FINAL}, a AS (SELECT query_id, count(*) AS k FROM sem GROUP BY 1), b AS (SELECT query_id, count(*) AS k FROM lex GROUP BY 1), m2 AS (SELECT query_id, count(*) AS k FROM merged GROUP BY 1), f2 AS (SELECT query_id, count(*) AS k, arg_min(chunk_id, rank) AS t, arg_min(score_ce, rank) AS ce FROM final GROUP BY 1)
 SELECT asked.query_id, coalesce(a.k, 0) AS semantic_candidates, coalesce(b.k, 0) AS lexical_candidates, coalesce(m2.k, 0) AS merged_candidates, coalesce(f2.k, 0) AS final_results, asked.query_id NOT IN (SELECT query_id FROM s) AS empty_scope,
   CAST(coalesce(f2.k, 0) AS INTEGER) AS n_breakdown, t AS top_chunk, round(ce, 6) AS top_ce FROM asked LEFT JOIN a USING (query_id) LEFT JOIN b USING (query_id) LEFT JOIN m2 USING (query_id) LEFT JOIN f2 USING (query_id)""",
     "prompt_answers": f"""WITH {FINAL}, g AS (SELECT query_id, string_agg('[' || rank || '] ' || substring(text, 1, {CHARS}), e'\\n\\n' ORDER BY rank) AS context, string_agg('[' || rank || '] ' || chunk_id, e'\\n' ORDER BY rank) AS sources, min(substring(text, 1, {CHARS})) FILTER (rank = 1) AS first FROM final WHERE rank <= {SOURCES} GROUP BY query_id)
 SELECT query_id, 'Question: ' || query || e'\\n' || CASE WHEN want_patient_id <> '' THEN 'Patient ID: ' || want_patient_id || e'\\n' ELSE '' END || e'\\nContext:\\n' || coalesce(context, '') || e'\\n\\nReturn:\\n' || {_text(ASK)} || e'\\nSources:\\n' || coalesce(sources, '') AS prompt,
-  CASE WHEN first IS NULL THEN {_STRIP.format(_text(ASK.partition('[1]')[2] + chr(10) + 'Sources:'))} || e'\\n\\n[Citation: see Sources [1]]' ELSE {_STRIP.format('first')} || e'\\n\\n[Citation: see Sources [1]]' END AS answer, replace(coalesce(sources, ''), e'\\n', '|') AS sources FROM w LEFT JOIN g USING (query_id)""",
+  CASE WHEN first IS NULL THEN {_STRIP.format(_text(ASK.partition('[1]')[2] + chr(10) + 'Sources:'))} || {_text(CITED)} ELSE {_STRIP.format('first')} || {_text(CITED)} END AS answer, replace(coalesce(sources, ''), e'\\n', '|') AS sources, coalesce(chunks, '') AS chunks
+FROM w LEFT JOIN g USING (query_id) LEFT JOIN (SELECT query_id, string_agg(chunk_id, '|' ORDER BY rank) AS chunks FROM final GROUP BY query_id) USING (query_id)""",
     "ranking_measures": f"WITH {MEASURES} SELECT query_id, n_relevant, n_retrieved, precision, recall, rr, ap FROM measures",
+    "measures_of_failed": f"WITH {MEASURES.replace('FROM lex JOIN rel USING (query_id)', 'FROM lex JOIN rel USING (query_id) WHERE CAST(lex.query_id AS BIGINT) % 3 <> 0')} SELECT query_id, n_relevant, n_retrieved, precision, recall, rr, ap FROM measures",
     "measure_summary": f"WITH {MEASURES} SELECT CASE WHEN grouping(intent_type) = 1 THEN 'overall' ELSE 'intent' END AS level, intent_type, count(*) AS num_queries, {', '.join(_MEAN(c, 'mean_' + c) for c in ('precision', 'recall', 'rr', 'ap'))}, {', '.join(f'round(median({c}), 6) AS median_{c}' for c in ('precision', 'recall', 'rr'))} FROM measures GROUP BY GROUPING SETS ((), (intent_type))",
     "score_statistics": f"WITH {STATS} SELECT * FROM stats",
     "statistics_by_type": f"WITH {STATS} SELECT query_type, count(*) AS queries, round(avg(avg_score), 6) AS avg_score, round(avg(num_retrieved), 6) AS avg_results, round(avg(top1_score), 6) AS avg_top1_score FROM stats JOIN asked USING (query_id) GROUP BY query_type",
     "statistics_overall": f"WITH {STATS} SELECT count(*) AS total_queries, count(num_retrieved) AS successful_queries, round(count(num_retrieved) / count(*), 6) AS success_rate, {_MEAN('num_retrieved', 'avg_results_per_query')}, {_MEAN('avg_score', 'avg_score_overall')}, {_MEAN('top1_score', 'avg_top1_score')}, {_MEAN('avg_semantic_score', 'avg_semantic_contribution')}, {_MEAN('avg_lexical_score', 'avg_lexical_contribution')}, {_MEAN('avg_ce_score', 'avg_ce_contribution')} FROM asked LEFT JOIN stats USING (query_id)",
     "statistics_matrix": f"""WITH {STATS} SELECT query_id, unnest(['results', 'average', 'best', 'steadiness', 'semantic', 'lexical', 'reranker']) AS metric, round(unnest([num_retrieved / 10, avg_score, top1_score, 1 - coalesce(score_std, 0), avg_semantic_score, avg_lexical_score, avg_ce_score]), 6) AS value FROM stats""",
+    "score_points": f"WITH {FINAL} SELECT query_id, score_final AS score, count(*) AS n FROM final GROUP BY ALL",
     "export_rows": f"WITH {FINAL}, g AS (SELECT query_id, count(*) AS num_results, round(avg(score_final), 6) AS avg_final, arg_min(patient_id, rank) AS top_patient, min(medication) FILTER (rank = 1) AS top_medication, arg_min(score_final, rank) AS top_score FROM final GROUP BY query_id) SELECT query_id, coalesce(num_results, 0) AS num_results, avg_final, top_patient, top_medication, top_score FROM asked LEFT JOIN g USING (query_id)",
     "patient_summary": f"WITH {REGISTRY} SELECT patient_id, count(*) AS n_rows, count(DISTINCT medication) AS n_medications, min(note_date) AS first_date, max(note_date) AS last_date, count(*) FILTER (seizure_status = 'positive') AS n_positive, count(*) FILTER (seizure_status = 'negative') AS n_negative, count(*) FILTER (seizure_status = 'unknown') AS n_unknown FROM r GROUP BY patient_id",
     "top_medications": f"WITH {REGISTRY} SELECT medication, count(*) AS n_rows FROM r WHERE medication IS NOT NULL GROUP BY medication ORDER BY n_rows DESC, medication LIMIT 10",
@@ -232,8 +305,9 @@ SELECT query_id, 'Question: ' || query || e'\\n' || CASE WHEN want_patient_id <>
     "type_distribution": f"WITH {ASKED}, {SAID_TEXTS}, {_intent('said')} SELECT intent_type, count(*) AS num_queries FROM i GROUP BY intent_type",
     "row_numbers": f"WITH {REGISTRY} SELECT patient_id, note_date, doc_id AS n, row_number() OVER (PARTITION BY patient_id ORDER BY note_date, doc_id) AS row_no FROM r",
     "vector_numbers": f"WITH {REGISTRY} SELECT patient_id, doc_id AS n, row_number() OVER (ORDER BY patient_id, doc_id) - 1 AS vector_id FROM r",
-    "note_split": f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS patient_id, strftime(DATE '2020-01-01' + CAST(turn AS INTEGER), '%Y-%m-%d') AS note_date, turn, {_STRIP.format("coalesce(text, '') || e'" + chr(92) + "n' || (" + _list(SAID) + ")[1 + turn % 4]")} AS note_text FROM conversations),
-k AS (SELECT *, CAST(row_number() OVER (PARTITION BY patient_id ORDER BY turn) AS INTEGER) AS note_idx FROM t WHERE note_text <> '') SELECT patient_id, note_idx, patient_id || '_' || note_date || '_' || lpad(CAST(note_idx AS VARCHAR), 3, '0') AS note_id, note_date, note_text FROM k""",
+    "note_split": f"WITH t AS ({_TURNS}), {_NUMBERED}",
+    "note_split_odd": f"WITH t AS (SELECT * FROM ({_TURNS}) WHERE turn % 4 <> 1 AND CAST(patient_id AS BIGINT) % 5 <> 0), {_NUMBERED}",
+    "note_split_cleaned": f"WITH t AS (SELECT * REPLACE ({_steps(_LINE_ENDS.format('note_text'), *GROUPS, 'text_case', 'text_tidy')} AS note_text) FROM ({_TURNS})), {_NUMBERED}",
     "registry_build": f"""WITH t AS (SELECT CAST(conv_id AS VARCHAR) AS patient_id, strftime(DATE '2020-01-01' + CAST(turn AS INTEGER), '%Y-%m-%d') AS note_date, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations)
 SELECT patient_id || '-' || row_number() OVER (PARTITION BY patient_id ORDER BY turn) AS row_id, patient_id || '_' || note_date || '_' || lpad(CAST(i AS VARCHAR), 3, '0') AS note_id, note_date, medication, medication_dosage, CAST(intake_times_per_day AS DOUBLE) AS intake_times_per_day,
   drug_mention_count, medication_effectiveness, seizure_status, seizure_symptoms, route, form FROM t JOIN {_EXTRACTED} ON turn % 4 = x.t""",

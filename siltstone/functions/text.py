@@ -6,8 +6,10 @@ Patterns start with flags that give Java the meaning of Unicode classes, line en
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +35,9 @@ RULES: list[tuple[str, str]] = [
     # units and ratios
     (UNITS, ""),
     (r"(\d+)\s*(mg)\s*/\s*(\d+)\s*(ml)\b", "$1 $2/$3 $4"),
-    # headings: a line ends after the colon. Anchored on it, so that the letters before it are looked at once
-    (r":(?<=[A-Za-z][A-Za-z/\s]{2,64}:)\s*", ":\n"),
+    # headings: a line ends after the colon. A run of letters, bars and blanks of any length is looked at once, from its
+    # start or from where the heading before it ended; its first letter must be followed by two more characters of it
+    (r"(?:\G|(?<![A-Za-z/\s]))([/\s]*+[A-Za-z][A-Za-z/\s]{2,}+:)\s*", "$1\n"),
     (VITALS, ""),
     # frequencies and routes
     (r"\bBID\b", "BID (twice daily)"),
@@ -60,10 +63,24 @@ UNIT_NAMES = ("mg", "mcg", "ml", "g", "l", "mcl")
 KEPT_UPPER = ("PO", "IV", "IM", "SQ", "PRN", "XR", "ER", "CR", "SR", "BID", "TID", "QID", "QD", "QHS", "QOD", "BP", "HR", "RR")
 
 
-@F.pandas_udf(T.StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    """Unicode NFKC, which Spark has no function for; most texts have that form and are passed on."""
-    return s.map(lambda x: x if x is None or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x))
+@F.arrow_udf(T.StringType())
+def nfkc(s: pa.Array) -> pa.Array:
+    """Unicode NFKC, which Spark has no function for; texts that have that form, as most do, are passed on.
+
+    pyarrow's own kernel leaves letters and their accents apart (23.0.1), which isn't NFKC, so Python's is used.
+    """
+    done = lambda x: x is None or x.isascii() or unicodedata.is_normalized("NFKC", x)
+    return pa.array([x if done(x) else unicodedata.normalize("NFKC", x) for x in s.to_pylist()], pa.string())
+
+
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once a row."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _where(there: Callable[[Column], Column], f: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """f, for texts that have what its patterns need; a look for that is cheaper than the patterns."""
+    return lambda text: _let(text, lambda t: F.when(there(t), f(t)).otherwise(t))
 
 
 def _sub(text: Column, pattern: str, by: str) -> Column:
@@ -89,10 +106,36 @@ def _vitals(text: Column) -> Column:
     return F.array_join(F.transform(F.split(text, "\n"), lambda x: F.when(told(x), F.replace(x, F.lit(" | "), F.lit(". "))).otherwise(x)), "\n")
 
 
+def _has(*parts: str) -> Callable[[Column], Column]:
+    return lambda t: reduce(lambda x, y: x | y, (t.contains(p) for p in parts))
+
+
+def _matches(pattern: str) -> Callable[[Column], Column]:
+    return lambda t: t.rlike(FLAGS + pattern)
+
+
+#: What a text must hold for runs of rules to change it: how many rules, and the look for it. None: always applied.
+GUARDS: list[tuple[int, Callable[[Column], Column] | None]] = [
+    (3, _has("**", "[")), (1, None), (1, _has("\u2013", "\u2014")), (3, _has("?")), (1, None), (1, _matches(rf"\d\s*(?:{'|'.join(UNIT_NAMES)})\b")), (1, _has("/")), (1, _has(":")), (1, _has("|")),
+    (12, _matches(r"\b(?:[BTQ]ID|QD|QHS|Q\d+H|PRN|PO|IV|SQ|IM|mIVF)\b")), (1, _has("(")), (1, None), (1, _has("\n\n\n")), (1, None),
+]
+
+
+def _rule(pattern: str, by: str) -> Callable[[Column], Column]:
+    return _units if pattern == UNITS else _vitals if pattern == VITALS else lambda t: _sub(t, pattern, by)
+
+
+def rules(first: int = 0, end: int | None = None) -> Callable[[Column], Column]:
+    """The rewrites RULES[first:end], one after another."""
+    return lambda text: reduce(lambda t, rule: _rule(*rule)(t), RULES[first:end], text)
+
+
 def apply_rules(text: Column) -> Column:
     """All rewrites, one after another."""
-    for pattern, by in RULES:
-        text = _units(text) if pattern == UNITS else _vitals(text) if pattern == VITALS else _sub(text, pattern, by)
+    at = 0
+    for n, guard in GUARDS:
+        run = rules(at, at + n)
+        text, at = (_where(guard, run) if guard else run)(text), at + n
     return text
 
 
@@ -100,7 +143,7 @@ def repair_case(text: Column) -> Column:
     """Mixed-case words to lower case, known abbreviations to upper case, all else as it is."""
     known = F.array(*map(F.lit, KEPT_UPPER))
     fix = lambda w: (
-        F.when(~w.rlike(r"^\p{L}+$"), w).when(F.array_contains(known, F.upper(w)), F.upper(w)).when((w != F.lower(w)) & (w != F.upper(w)), F.lower(w)).otherwise(w)
+        F.when((F.length(w) > 3) & (w == F.lower(w)), w).when(~w.rlike(r"^\p{L}+$"), w).when(F.array_contains(known, F.upper(w)), F.upper(w)).when((w != F.lower(w)) & (w != F.upper(w)), F.lower(w)).otherwise(w)
     )
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"), F.lit(1)), fix), "")
 

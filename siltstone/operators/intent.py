@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aliases import contains_any, first_named
+from ..functions.text import FLAGS
 
 #: Words and patterns that are looked for, in order of precedence.
 SYMPTOMS = ["seizure", "convulsion", "tonic-clonic", "absence", "focal", "ictal"]
@@ -14,10 +15,13 @@ FAILED = ["ineffective", "failed", "not working", "refractory", "breakthrough",
 NEGATED = ["no seizure", "without seizure", "seizure-free", "no convulsion"]
 PATIENT = [r"patient\s*(?:id|#|number)?\s*:?\s*(\d{6,})", r"patient\s+(\d{6,})", r"pt\s*#?\s*(\d{6,})", r"id\s*:?\s*(\d{6,})"]
 DAY = r"\d{4}-\d{2}-\d{2}"
+SPAN = rf"from\s+({DAY})\s+to\s+({DAY})"
+#: Words that tell that seizures are the question.
+SEIZURE_WORDS = ["seizure", "convulsion", "ictal"]
 
 
 def _found(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(text, FLAGS + pattern, group), F.lit(""))
 
 
 def intent(query: Column, whole_words: bool = False) -> Column:
@@ -29,14 +33,13 @@ def intent(query: Column, whole_words: bool = False) -> Column:
     q = F.lower(F.coalesce(query, F.lit("")))
     patient = F.coalesce(*[_found(q, p, 1) for p in PATIENT])
     drug = first_named(q, whole_words)
-    span = rf"from\s+({DAY})\s+to\s+({DAY})"
-    start = F.coalesce(_found(q, span, 1), _found(q, f"({DAY})", 1))
+    start = F.coalesce(_found(q, SPAN, 1), _found(q, f"({DAY})", 1))
     symptoms = F.filter(F.array(*map(F.lit, SYMPTOMS)), lambda s: q.contains(s))
     outcome = F.when(contains_any(q, WORKED), "successful").when(contains_any(q, FAILED), "refractory")
-    status = F.when(contains_any(q, ["seizure", "convulsion", "ictal"]), F.when(contains_any(q, NEGATED), "negative").otherwise("positive"))
+    status = F.when(contains_any(q, SEIZURE_WORDS), F.when(contains_any(q, NEGATED), "negative").otherwise("positive"))
     kind = F.when(patient.isNotNull(), "patient_specific").when(drug.isNotNull(), "cohort").otherwise("general")
     return F.struct(
-        kind.alias("intent_type"), patient.alias("patient_id"), drug.alias("medication"), start.alias("date_start"), _found(q, span, 2).alias("date_end"),
+        kind.alias("intent_type"), patient.alias("patient_id"), drug.alias("medication"), start.alias("date_start"), _found(q, SPAN, 2).alias("date_end"),
         symptoms.alias("symptoms"), outcome.alias("effectiveness"), status.alias("seizure_status"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
-from ..shared import small
+from ..shared import saved, small
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -25,18 +25,25 @@ def bm25(queries: DataFrame, scoped: DataFrame, docs: DataFrame, k: int = 200, t
     the scope. A term that a query repeats counts as often. Scores are rounded at 9 digits, ties go to the smaller id.
     Only the queries' terms are followed through the texts; all terms are counted just in scopes that need the mean.
     """
-    words = docs.select("vector_id", tokens(F.col(text)).alias("t"))
-    sizes = scoped.join(words.select("vector_id", F.size("t").alias("dl")), "vector_id").groupBy("scope_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    words = saved(docs.select("vector_id", tokens(F.col(text)).alias("t")).select("vector_id", "t", F.size("t").alias("dl")))  # tokenised once
+    lengths = words.select("vector_id", "dl")
+    sizes = saved(scoped.join(lengths, "vector_id").groupBy("scope_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")))
     q = queries.select("query_id", "scope_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "scope_id", "term").agg(F.count("*").alias("times"))
-    hits = words.select("vector_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(small(q.select("term").distinct()), "term")
-    hits = scoped.join(hits.groupBy("vector_id", "dl", "term").agg(F.count("*").alias("tf")), "vector_id")
+    hits = words.select("vector_id", "dl", F.explode("t").alias("term")).join(small(q.select("term").distinct()), "term")
+    hits = saved(scoped.join(hits.groupBy("vector_id", "dl", "term").agg(F.count("*").alias("tf")), "vector_id"))
     raw = F.log(F.col("n_docs") - F.col("n") + 0.5) - F.log(F.col("n") + 0.5)
     q = q.join(hits.groupBy("scope_id", "term").agg(F.count("*").alias("n")).join(sizes, "scope_id").withColumn("raw", raw), ["scope_id", "term"])
+    q = saved(q)
     common = q.filter("raw < 0").select("scope_id", "n_docs").distinct()
+    # scopes of all texts share their counts: the terms of all texts are counted once for them
+    total = words.count()
+    whole, part = common.filter(F.col("n_docs") == total), common.filter(F.col("n_docs") < total)
     every = words.select("vector_id", F.explode(F.array_distinct("t")).alias("term"))
-    mean = scoped.join(common, "scope_id").join(every, "vector_id").groupBy("scope_id", "n_docs", "term").agg(F.count("*").alias("n")).groupBy("scope_id").agg(F.avg(raw).alias("mean"))
+    inside = scoped.join(small(part), "scope_id").join(every, "vector_id").groupBy("scope_id", "n_docs", "term").agg(F.count("*").alias("n")).groupBy("scope_id").agg(F.avg(raw).alias("mean"))
+    once = every.groupBy("term").agg(F.count("*").alias("n")).withColumn("n_docs", F.lit(total)).agg(F.avg(raw).alias("mean"))
+    mean = saved(inside.unionByName(whole.select("scope_id").crossJoin(F.broadcast(once)).select("scope_id", "mean")))  # one row
     q = q.join(mean, "scope_id", "left").withColumn("idf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")))
-    met = hits.join(q.select("query_id", "scope_id", "term", "times", "idf", "avgdl"), ["scope_id", "term"])
+    met = hits.join(small(q.select("query_id", "scope_id", "term", "times", "idf", "avgdl")), ["scope_id", "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scores = met.groupBy("query_id", "vector_id").agg(F.round(F.sum(part), 9).alias("score"))
     # what no term reaches scores 0: the first 2k of a scope are enough to fill up the k best, unless scores may be negative

@@ -24,11 +24,12 @@ def ranking_metrics(queries: DataFrame, results: DataFrame, k: int = 10) -> Data
     queries: query_id, relevant (array of distinct chunk ids); results: query_id, chunk_id, rank. Precision divides by k even
     if fewer rows came; recall and ap are 0 without relevant ids; rr looks at the whole list.
     """
-    r = queries.select("query_id", "relevant").join(results.select("query_id", "chunk_id", "rank"), "query_id", "left")
-    r = r.withColumn("hit", F.coalesce(F.array_contains("relevant", F.col("chunk_id")), F.lit(False)).cast("int"))
+    r = queries.select("query_id", F.size("relevant").alias("n")).join(results.select("query_id", "chunk_id", "rank"), "query_id", "left")
+    good = queries.select("query_id", F.explode(F.array_distinct("relevant")).alias("chunk_id")).withColumn("hit", F.lit(1))
+    r = r.join(good, ["query_id", "chunk_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     r = r.withColumn("so_far", F.sum("hit").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     g = r.groupBy("query_id").agg(
-        F.first(F.size("relevant")).cast("long").alias("n_relevant"), F.count("rank").alias("n_retrieved"), F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias("hits"),
+        F.first("n").cast("long").alias("n_relevant"), F.count("rank").alias("n_retrieved"), F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0)).alias("hits"),
         F.min(F.when(F.col("hit") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("hit") == 1, F.col("so_far") / F.col("rank")).otherwise(0.0)).alias("sum_p"),
     )
     some = F.col("n_relevant") > 0
@@ -76,6 +77,11 @@ def heat_map(stats: DataFrame) -> DataFrame:
     return stats.select("query_id", F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.round(v, 6).alias("value")) for k, v in cells.items()])).alias("c")).select("query_id", "c.metric", "c.value")
 
 
+def score_points(results: DataFrame) -> DataFrame:
+    """query_id, score: a row per result, the data behind the chart of how final scores are distributed."""
+    return results.select("query_id", F.col("score_final").alias("score"))
+
+
 def export_summary(queries: DataFrame, results: DataFrame) -> DataFrame:
     """Per query, those without results too: rows, mean final score, and the best row's patient, drug and score."""
     r = results.groupBy("query_id").agg(F.count("*").alias("num_results"), F.round(F.avg("score_final"), 6).alias("avg_final"), F.min_by("patient_id", "rank").alias("top_patient"), F.min_by("medication", "rank").alias("top_medication"), F.min_by("score_final", "rank").alias("top_score"))

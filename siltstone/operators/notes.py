@@ -50,6 +50,8 @@ STRENGTH = r"(?iu)(\d+(?:\.\d+)?\s*(?:mg|mcg|ml|g|units?))\b"
 FORM = r"(?iu)\b(tablets?|tabs?|capsules?|caps?|solution|suspension|syrup|injection|patch|drops|XR|ER)\b"
 ROUTE = r"(?iu)\b(po|by mouth|oral(?:ly)?|iv|intravenous(?:ly)?|im|intramuscular(?:ly)?|sq|subcutaneous(?:ly)?|rectal(?:ly)?|topical(?:ly)?)\b"
 FREQUENCY = r"(?iu)\b(once daily|once a day|twice daily|twice a day|three times daily|three times a day|four times daily|four times a day|every \d+ hours|q\d+h|bid|tid|qid|qd|qhs|at bedtime|nightly|daily|as needed|prn)\b"
+DOSAGE = r"(?iu)\b((?:\d+(?:[./]\d+)?|one|two|three|four|half a|half|a)\s+(?:tablets?|tabs?|capsules?|caps?|drops?|puffs?|patch(?:es)?|teaspoons?|sprays?))\b"
+DURATION = r"(?iu)\b((?:for|x)\s*\d+\s*(?:days?|weeks?|months?|years?))\b"
 
 
 def _first(text: Column, pattern: str) -> Column:
@@ -61,7 +63,7 @@ def _word(term: Column) -> Column:
 
 
 def medications(text: Column) -> Column:
-    """An array of (drug, strength, form, route, frequency, context), one for each drug's name in the text, in order of first mention.
+    """An array of (drug, strength, form, route, frequency, dosage, duration, context), one for each drug's name in the text, in order of first mention.
 
     Attributes are the first ones that follow the first mention before the sentence or the next 120 characters end.
     """
@@ -73,7 +75,7 @@ def medications(text: Column) -> Column:
         after = F.regexp_extract(F.substring(text, at + F.length(drug), F.lit(AFTER)), r"(?s)\A(.*?)(?:\.\s|\n|\z)", 1)
         return F.struct(
             F.lower(drug).alias("drug"), _first(after, STRENGTH).alias("strength"), F.lower(_first(after, FORM)).alias("form"), F.lower(_first(after, ROUTE)).alias("route"),
-            F.lower(_first(after, FREQUENCY)).alias("frequency"), strip(context).alias("context"),
+            F.lower(_first(after, FREQUENCY)).alias("frequency"), F.lower(_first(after, DOSAGE)).alias("dosage"), F.lower(_first(after, DURATION)).alias("duration"), strip(context).alias("context"),
         )
 
     return F.transform(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_ANY_NAME), F.lit(1)), F.lower)), linked)

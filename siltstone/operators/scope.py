@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.aliases import canonical, normal, search_terms
+from ..shared import saved, small
 
 ENOUGH, DAYS = 10, 90
 
@@ -20,36 +21,59 @@ def _widened(day: Column, days: int) -> Column:
     return F.date_format(F.date_add(F.try_to_date(day, "yyyy-MM-dd"), days), "yyyy-MM-dd")
 
 
+PARTS = ("pid", "med", "ds", "de")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    q = queries.select(
+        "query_id", F.nullif(F.col("want_patient_id"), F.lit("")).alias("pid"), F.nullif(normal(F.col("want_medication")), F.lit("")).alias("med"),
+        F.nullif(F.col("want_date_start"), F.lit("")).alias("ds"), F.nullif(F.col("want_date_end"), F.lit("")).alias("de"),
+    ).withColumn("terms", F.when(F.col("med").isNotNull(), search_terms(F.col("med"))))
+    return q.withColumn("wide_s", _widened(F.col("ds"), -DAYS)).withColumn("wide_e", _widened(F.col("de"), DAYS))
+
+
+def _inside(lo: str, hi: str) -> Column:
+    return (F.col(lo).isNull() | (F.col("note_date") >= F.col(lo))) & (F.col(hi).isNull() | (F.col("note_date") <= F.col(hi)))
+
+
 def scope(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, vector_id, date_relaxed, medication_dropped: the chunks each query may see.
 
     queries: query_id and want_patient_id, want_medication, want_date_start, want_date_end, each null if not asked for.
     If fewer than 10 chunks pass, dates are widened by 90 days, if that gives 10; else the medication is dropped, if that
     gives 10; else the few stay. A query whose filters nothing passes has no rows: it never sees what it didn't ask for.
-    Queries that name a patient meet chunks by hash join on the patient; only the others meet all of them.
+
+    Whether filters are relaxed is decided on a count of the chunks by patient, drug and day, which is far smaller than
+    the chunks; queries that name a patient meet it by hash join on the patient. Chunks are then filtered once, by the
+    filters chosen; queries without filters take them all.
     """
-    q = queries.select(
-        "query_id", F.nullif(F.col("want_patient_id"), F.lit("")).alias("pid"), F.nullif(normal(F.col("want_medication")), F.lit("")).alias("med"),
-        F.nullif(F.col("want_date_start"), F.lit("")).alias("ds"), F.nullif(F.col("want_date_end"), F.lit("")).alias("de"),
-    ).withColumn("terms", F.when(F.col("med").isNotNull(), search_terms(F.col("med"))))
-    q = q.withColumn("wide_s", _widened(F.col("ds"), -DAYS)).withColumn("wide_e", _widened(F.col("de"), DAYS))
+    q = _asked(queries)
     c = chunks.select("vector_id", F.col("patient_id").cast("string").alias("patient_id"), F.col("note_date").cast("string").alias("note_date"), "medication")
-    met = c.join(q.filter("pid is not null"), c["patient_id"] == F.col("pid")).unionByName(c.crossJoin(q.filter("pid is null")))
-    inside = lambda lo, hi: (F.col(lo).isNull() | (F.col("note_date") >= F.col(lo))) & (F.col(hi).isNull() | (F.col("note_date") <= F.col(hi)))
     yes = lambda c: F.coalesce(c, F.lit(False))
     drug = F.col("med").isNull() | names_match(F.col("medication"), F.col("terms"))
-    met = met.withColumn("base", yes(inside("ds", "de") & drug)).withColumn("relaxed", yes(inside("wide_s", "wide_e") & drug)).withColumn("nomed", yes(inside("ds", "de")))
-    met = met.filter("base or relaxed or nomed")
-    count = met.groupBy("query_id").agg(*[F.count_if(c).alias(f"n_{c}") for c in ("base", "relaxed", "nomed")])
+    kinds = {"base": yes(_inside("ds", "de") & drug), "relaxed": yes(_inside("wide_s", "wide_e") & drug), "nomed": yes(_inside("ds", "de"))}
+    filtered = q.filter(F.coalesce(*PARTS).isNotNull())
+    cells = saved(c.groupBy("patient_id", "note_date", "medication").agg(F.count("*").alias("n")))
+    days = cells.groupBy("note_date", "medication").agg(F.sum("n").alias("n"))
+    named, others = filtered.filter("pid is not null"), filtered.filter("pid is null")
+    met = cells.join(small(named), F.col("patient_id") == F.col("pid")).select("query_id", *PARTS, "terms", "wide_s", "wide_e", "note_date", "medication", "n")
+    # filters that name no patient, a stated set, meet the days and drugs there are
+    met = met.unionByName(days.join(small(others), F.lit(True)).select(*met.columns))
+    count = met.groupBy("query_id").agg(*[F.sum(F.when(k, F.col("n")).otherwise(0)).alias(f"n_{name}") for name, k in kinds.items()])
     choice = (
-        F.when((F.col("n_base") >= ENOUGH) | F.coalesce("pid", "med", "ds", "de").isNull(), "base")
+        F.when(F.col("n_base") >= ENOUGH, "base")
         .when(F.coalesce("ds", "de").isNotNull() & (F.col("n_relaxed") >= ENOUGH), "relaxed")
         .when(F.col("med").isNotNull() & (F.col("n_nomed") >= ENOUGH), "nomed")
         .otherwise("base")
     )
-    met = met.join(count, "query_id").withColumn("choice", choice)
-    kept = met.filter(F.when(F.col("choice") == "base", F.col("base")).when(F.col("choice") == "relaxed", F.col("relaxed")).otherwise(F.col("nomed")))
-    return kept.select("query_id", "vector_id", (F.col("choice") == "relaxed").alias("date_relaxed"), (F.col("choice") == "nomed").alias("medication_dropped"))
+    chosen = filtered.join(count, "query_id").select("query_id", "pid", "terms", choice.alias("choice"), "med", "ds", "de", "wide_s", "wide_e")
+    relaxed, dropped = F.col("choice") == "relaxed", F.col("choice") == "nomed"
+    chosen = saved(chosen.select("query_id", "pid", F.when(~dropped, F.col("med")).alias("med"), "terms", F.when(relaxed, F.col("wide_s")).otherwise(F.col("ds")).alias("ds"), F.when(relaxed, F.col("wide_e")).otherwise(F.col("de")).alias("de"), relaxed.alias("date_relaxed"), dropped.alias("medication_dropped")))
+    passes, out = yes(_inside("ds", "de") & drug), ["query_id", "vector_id", "date_relaxed", "medication_dropped"]
+    one = c.join(small(chosen.filter("pid is not null")), F.col("patient_id") == F.col("pid")).filter(passes).select(*out)
+    many = c.join(small(chosen.filter("pid is null")), passes).select(*out)
+    free = q.filter(F.coalesce(*PARTS).isNull()).select("query_id", F.lit(False).alias("date_relaxed"), F.lit(False).alias("medication_dropped"))
+    return one.unionByName(many).unionByName(c.select("vector_id").join(small(free), F.lit(True)).select(*out))
 
 
 def filters_applied(queries: DataFrame, scoped: DataFrame) -> DataFrame:

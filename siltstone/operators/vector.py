@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import saved
 from .lexical import ranked
 
+#: Numbers of the query vectors that go to every task at once; more queries take further passes over the vectors.
+NUMBERS = 1 << 22
+#: Vectors of a block, and queries that meet it at a time.
+ROWS, QUERIES = 4096, 256
+
 
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -25,39 +32,100 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def usable(v: Column) -> Column:
+    """Whether a vector can be compared: not null, not empty, and without null or non-finite components."""
+    bad = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    return F.coalesce((F.size(v) > 0) & ~F.exists(v, bad), F.lit(False))
+
+
+class _Best:
+    """The k best rows of each query so far: more are held for a while and then cut."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.room = k, max(1 << 16, 4 * queries * k)
+        self.floor = np.full(queries, -np.inf)  # what a further row must reach
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, first: int, ids: np.ndarray, score: np.ndarray) -> None:
+        """score: rows by queries, these from `first` on."""
+        least = self.floor[first : first + score.shape[1]]
+        if len(ids) > self.k:  # ties at the edge stay, for the smaller id to win
+            least = np.maximum(least, np.partition(score, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        row, query = np.nonzero(score >= least)
+        self.parts.append((first + query, ids[row], score[row, query]))
+        self.held += len(row)
+        if self.held > self.room:
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, score = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *self.parts))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        begin = np.flatnonzero(np.diff(query, prepend=-1))
+        place = np.arange(len(query)) - np.repeat(begin, np.diff(begin, append=len(query)))
+        last = place == self.k - 1
+        self.floor[query[last]] = score[last]
+        keep = place < self.k
+        self.parts = [(query[keep], ids[keep], score[keep])]
+        self.held = int(keep.sum())
+        return self.parts[0]
+
+
+def _pass(asked: pa.Table, kind: str, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vector_id, score_semantic: the k best rows of each task for the asked queries."""
+    size = np.array([len(v) for v in asked.column("embedding").to_pylist()], np.int64)
+    sides = {}
+    for d in np.unique(size):  # vectors meet queries of as many dimensions
+        own = asked.filter(pa.array(size == d))
+        sides[int(d)] = (own.column("query_id").to_pylist(), own.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d))
+    held = vectors.sparkSession.sparkContext.broadcast(sides)
+    fields = pa.schema([pa.field("query_id", asked.schema.field("query_id").type), pa.field("vector_id", pa.int64()), pa.field("score_semantic", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = {d: _Best(len(names), k) for d, (names, _) in held.value.items()}
+        for big in batches:
+            for at in range(0, big.num_rows, ROWS):
+                batch = big.slice(at, ROWS)
+                ids, dim = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+                for d in np.unique(dim):
+                    if d not in best:
+                        continue
+                    some = np.flatnonzero(dim == d)
+                    v = batch.column(1).take(pa.array(some)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(some), d)
+                    q = held.value[d][1]
+                    for first in range(0, len(q), QUERIES):
+                        best[d].add(first, ids[some], np.round(v @ q[first : first + QUERIES].T, 9))
+        for d, (names, _) in held.value.items():
+            query, ids, score = best[d].cut()
+            yield pa.RecordBatch.from_arrays([pa.array(names, fields[0].type).take(pa.array(query)), pa.array(ids), pa.array(score)], schema=fields)
+
+    return vectors.select("vector_id", "embedding", F.size("embedding").alias("dim")).mapInArrow(run, f"query_id {kind}, vector_id long, score_semantic double")
+
+
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int = 200) -> DataFrame:
     """query_id, vector_id, score_semantic, rank_semantic of the k best vectors by inner product for each query.
 
-    queries: query_id, embedding; vectors: vector_id, embedding; rows with a null vector take no part. The queries are a
-    batch that one machine holds (they go to each task in blocks); a task reads its vectors a batch at a time and keeps k
-    rows a query. Scores are rounded at 9 digits, ties go to the smaller id.
+    queries: query_id, embedding; vectors: vector_id, embedding. Vectors that are null or empty, or hold a null or
+    non-finite component, take no part on either side; only vectors of as many dimensions are compared. Scores are rounded
+    at 9 digits, ties go to the smaller id. Queries of up to NUMBERS components go to every task; more of them are dealt
+    into passes, whose k best rows are written before the next pass, so the driver holds one pass's queries at most. A task
+    keeps few rows a query and reads its vectors a block at a time.
     """
-    rows = queries.filter("embedding is not null").select("query_id", "embedding").collect()
-    ids = [r["query_id"] for r in rows]
     kind = dict(queries.dtypes)["query_id"]
-    q = np.array([r["embedding"] for r in rows], float)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id = [np.empty(0, np.int64)] * len(ids)
-        best = [np.empty(0)] * len(ids)
-        for batch in batches:
-            v = batch.column(0).to_numpy()
-            m = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(v), -1) if len(v) else np.empty((0, 0))
-            if not len(v) or m.shape[1] != q.shape[1]:
-                continue
-            s = np.round(m @ q.T, 9)
-            for i in range(len(ids)):
-                all_id, all_s = np.concatenate([best_id[i], v]), np.concatenate([best[i], s[:, i]])
-                keep = np.lexsort((all_id, -all_s))[:k]
-                best_id[i], best[i] = all_id[keep], all_s[keep]
-        for i, name in enumerate(ids):
-            n = len(best[i])
-            yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(best_id[i]), pa.array(best[i])], names=["query_id", "vector_id", "score_semantic"])
-
-    good = vectors.filter("embedding is not null").select(F.col("vector_id").cast("long"), "embedding")
-    if not ids:
-        return good.limit(0).select(F.lit(None).cast(kind).alias("query_id"), "vector_id", F.lit(0.0).alias("score_semantic"), F.lit(0).alias("rank_semantic"))
-    return ranked(good.mapInArrow(run, f"query_id {kind}, vector_id long, score_semantic double"), "score_semantic", k, "rank_semantic")
+    asked = queries.filter(usable(F.col("embedding"))).select("query_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    good = vectors.filter(usable(F.col("embedding"))).select(F.col("vector_id").cast("long").alias("vector_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    numbers = asked.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    if numbers <= NUMBERS:
+        found = _pass(asked.toArrow(), kind, good, k)
+    else:
+        asked = saved(asked.withColumn("size", F.size("embedding").cast("long")))
+        w = Window.partitionBy("lane").orderBy("query_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        lanes = -(-4 * numbers // NUMBERS)  # of which each is a pass or, if hashes deal unevenly, more
+        dealt = saved(asked.withColumn("lane", F.pmod(F.xxhash64("query_id"), F.lit(lanes))).withColumn("turn", F.floor(F.sum("size").over(w) / NUMBERS)))
+        turns = [(r["lane"], r["turn"]) for r in dealt.select("lane", "turn").distinct().orderBy("lane", "turn").collect()]
+        found = reduce(DataFrame.unionByName, [saved(_pass(dealt.filter((F.col("lane") == a) & (F.col("turn") == b)).select("query_id", "embedding").toArrow(), kind, good, k)) for a, b in turns])
+    return ranked(found, "score_semantic", k, "rank_semantic")
 
 
 def scoped_top_k(queries: DataFrame, vectors: DataFrame, scoped: DataFrame, k: int = 200, prefilter: bool = False) -> DataFrame:
@@ -68,5 +136,6 @@ def scoped_top_k(queries: DataFrame, vectors: DataFrame, scoped: DataFrame, k: i
     if not prefilter:
         top = vector_top_k(queries, vectors, 3 * k).drop("rank_semantic")
         return ranked(top.join(scoped.select("query_id", "vector_id"), ["query_id", "vector_id"], "left_semi"), "score_semantic", k, "rank_semantic")
-    met = scoped.select("query_id", "vector_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id").join(vectors, "vector_id").filter("q is not null and embedding is not null")
+    asked = queries.filter(usable(F.col("embedding"))).select("query_id", F.col("embedding").alias("q"))
+    met = scoped.select("query_id", "vector_id").join(asked, "query_id").join(vectors.filter(usable(F.col("embedding"))), "vector_id").filter(F.size("q") == F.size("embedding"))
     return ranked(met.select("query_id", "vector_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score_semantic")), "score_semantic", k, "rank_semantic")

@@ -7,6 +7,8 @@ from html import escape
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
+from ..operators.metrics import score_points
+
 COLOURS = ["#4269d0", "#efb118", "#ff725c", "#6cc5b0", "#3ca951", "#9c6b4e"]
 WIDTH, HEIGHT, LEFT, TOP = 720, 320, 60, 40
 
@@ -76,8 +78,8 @@ def write_charts(stats: DataFrame, by_type: DataFrame, overall: DataFrame, matri
     o = overall.first()
     cells = {(r["metric"], str(r["query_id"])): r["value"] for r in matrix.collect()}
     found: dict[str, list[float]] = {}
-    for r in results.select("query_id", "score_final").collect():
-        found.setdefault(str(r["query_id"]), []).append(r["score_final"])
+    for r in score_points(results).collect():
+        found.setdefault(str(r["query_id"]), []).append(r["score"])
     ids = [str(r["query_id"]) for r in s]
     column = lambda c: [r[c] for r in s]
     by_query = [bars(title, ids, {title: column(c)}) for title, c in (("Average score", "avg_score"), ("Best score", "top1_score"), ("Results", "num_retrieved"), ("Standard deviation", "score_std"))]

@@ -1,9 +1,15 @@
 """The whole retrieval over a small corpus."""
 
+import json
+import threading
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators.answer import answers, register_backend
+from siltstone.operators import vector
+from siltstone.operators.answer import SYSTEM, answers, chat_service, local_model, register_backend
 from siltstone.operators.lexical import bm25
 from siltstone.plans.build import build_index
 from siltstone.plans.numbering import number_rows
@@ -64,12 +70,46 @@ def test_answers(spark, chunks):
     found = retrieve(q, chunks).results
     got = {x.query_id: x for x in answers(found, q).collect()}
     assert got["a"].answer.endswith("[Citation: see Sources [1]]") and len(got["a"].sources) == 8 and got["b"].sources == []
-    register_backend("loud", F.upper)
-    assert answers(found, q, "loud").first()["answer"].startswith("QUESTION: ")
+    assert [c.rank for c in got["a"].chunks] == list(range(1, 11)) and got["a"].chunks[0].chunk_text_full and got["b"].chunks == []
+    register_backend("loud", lambda system, prompt: F.upper(F.concat(prompt, system)))
+    assert answers(found, q, "loud", system="be brief").first()["answer"].startswith("QUESTION: ")
+    assert answers(found, q, "loud", system="be brief").first()["answer"].endswith("BE BRIEF")
     with pytest.raises(ValueError):
         answers(found, q, "no such")
-    with pytest.raises(RuntimeError):
-        answers(found, q, "openai")
+
+
+def test_models_behind_answers(spark):
+    """A chat service and a model in the workers get the system prompt and the user's, and one bad reply spoils no other."""
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, self.headers["Authorization"], body))
+            bad = "second" in body["messages"][1]["content"]
+            self.send_response(500 if bad else 200)
+            self.end_headers()
+            self.wfile.write(b"" if bad else json.dumps({"choices": [{"message": {"content": " said "}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    asked: list = []
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    q = spark.createDataFrame([("a", "first"), ("b", "second")], "query_id string, query string")
+    none = spark.createDataFrame([], "query_id string, rank int, chunk_id string, chunk_text_full string")
+    try:
+        register_backend("openai", chat_service(f"http://127.0.0.1:{server.server_port}/v1", "some-model", key="k"))
+        got = {r.query_id: r.answer for r in answers(none, q, "openai").collect()}
+    finally:
+        server.shutdown()
+    assert got["a"] == "said" and got["b"].startswith("Error calling the chat service")
+    path, key, body = next(x for x in asked if "first" in x[2]["messages"][1]["content"])
+    assert (path, key, body["model"], body["temperature"], body["max_tokens"]) == ("/v1/chat/completions", "Bearer k", "some-model", 0.1, 600)
+    assert [m["role"] for m in body["messages"]] == ["system", "user"] and body["messages"][0]["content"] == SYSTEM
+    register_backend("hf", local_model(lambda: lambda text: text.splitlines()[-1] if "first" in text else " "))
+    got = {r.query_id: r.answer for r in answers(none, q, "hf", system="S").collect()}
+    assert got["a"] == "Sources:" and got["b"] == "Not found in chart."
 
 
 def test_bm25_with_negative_mean(spark):
@@ -91,3 +131,23 @@ def test_numbers(spark):
     assert got == want
     assert sorted(r.no for r in number_rows(df, ["p", "k"], "no").collect()) == list(range(500))
     assert number_rows(df.limit(0), ["k"], "no").count() == 0
+
+
+@pytest.mark.parametrize("numbers", [1 << 22, 40])
+def test_vectors_of_several_sizes(spark, monkeypatch, numbers):
+    """Vectors meet those of their own size only; null and non-finite ones take no part; more queries take more passes."""
+    monkeypatch.setattr(vector, "NUMBERS", numbers)
+    monkeypatch.setattr(vector, "ROWS", 16)
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in np.round(rng.normal(size=2 + k % 3), 1)]) for k in range(200)]
+    odd = [(900, None), (901, []), (902, [1.0, None]), (903, [float("nan"), 1.0]), (904, [float("inf"), 1.0]), (905, [9.0, 9.0, None])]
+    df = spark.createDataFrame(rows + odd, "vector_id long, embedding array<double>").repartition(3)
+    asked = [(f"q{k}", v) for k, v in rows[:30]] + [(f"q{k}", v) for k, v in odd]
+    got = vector.vector_top_k(spark.createDataFrame(asked, "query_id string, embedding array<double>"), df, 7).collect()
+    want = set()
+    for k, v in rows[:30]:
+        best = sorted((-round(float(np.dot(v, w)), 9), j) for j, w in rows if len(w) == len(v))[:7]
+        want |= {(f"q{k}", j, r, -s) for r, (s, j) in enumerate(best, 1)}
+    assert {(x.query_id, x.vector_id, x.rank_semantic, x.score_semantic) for x in got} == want
+    assert vector.vector_top_k(spark.createDataFrame([], "query_id string, embedding array<double>"), df).count() == 0
+    assert vector.vector_top_k(spark.createDataFrame(asked[:1], "query_id string, embedding array<double>"), df.limit(0)).count() == 0
