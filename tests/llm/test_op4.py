@@ -1,4 +1,8 @@
-from siltstone.llm.op4_main_text import extract_main_text, main_text, op4_main_text
+import math
+from xml.etree import ElementTree
+
+from siltstone.llm import op4_main_text as op4
+from siltstone.llm.op4_main_text import extract_main_text, main_text, op4_main_text, parse
 
 ARTICLE = "<h1>A title of some length</h1>" + "".join(f"<p>Paragraph {k} of the article goes on for a while, with <a href='#'>a link</a> and <b>bold</b> words&nbsp;&amp; more.</p>" for k in range(6))
 WANT = "A title of some length " + " ".join(f"Paragraph {k} of the article goes on for a while, with a link and bold words & more." for k in range(6))
@@ -78,3 +82,61 @@ def test_links_and_thin_parts_still_go():
     share = "<div class='share'><a href='#'>Send it to a friend</a> <a href='#'>Print it out on paper</a></div><div class='ad'>Buy</div>"
     talk = "<section id='comments'>" + "".join(f"<p>Reader {k}: I read all of it and have something rather long to say about it, as always, and more than the article.</p>" for k in range(12)) + "</section>"
     assert main_text(page(f"<article>{ARTICLE}{share}</article>{talk}")) == WANT
+
+
+def test_no_paragraph_is_lost_for_a_class_name():
+    one, two = "This paragraph says a whole sentence, or even two of them.", "And so does the other paragraph of the page, with a few words more."
+    for name in ("post-header", "discussion", "related-work", "social-science", "story-teaser", "article-share-body"):
+        assert main_text(page(f"<article><p>{one}</p><p class='{name}'>{two}</p></article>")) == f"{one} {two}", name
+        assert main_text(page(f"<article>{ARTICLE}<div class='{name}'><p>{one}</p><p>{two}</p></div></article>")) == f"{WANT} {one} {two}", name
+
+
+def composite(element, page_links, page_chars):
+    """The density by its formula, from counts of the standard library's tree."""
+    text = lambda e: len("".join("".join(e.itertext()).split()))
+    inner = [e for e in element.iter() if e is not element]
+    c, t = text(element), max(1, len(inner))
+    links = [e for e in inner if e.tag == "a"]
+    linked = c if element.tag == "a" else sum(map(text, links))
+    if not c:
+        return 0.0
+    base = max(1.1, math.log(c / max(1, c - linked) * linked + page_links / max(1, page_chars) * c + math.e))
+    return c / t * max(0.0, math.log(c / max(1, linked) * t / max(1, len(links)))) / math.log(base)
+
+
+def test_densities_by_counting():
+    html = "<html><body><div id='a'><a href='#'>one</a><a href='#'>two</a> x</div><div id='b'><h2>Title</h2><p>Some text with <b>bold</b> and <a href='#'>a link</a>.</p><p>More of it, and no link.</p></div><p>Last</p></body></html>"
+    root = parse(html)
+    op4._measure(root)
+    tree = ElementTree.fromstring(html)
+    text = lambda e: len("".join("".join(e.itertext()).split()))
+    page_links, page_chars = sum(text(a) for a in tree.iter("a")), text(tree)
+    mine = [n for n in in_order(root)]
+    theirs = list(tree.iter())
+    assert [n.tag for n in mine] == [e.tag for e in theirs]
+    for n, e in zip(mine, theirs):
+        assert abs(n.density - composite(e, page_links, page_chars)) < 1e-9, e.tag
+
+
+def in_order(node):
+    yield node
+    for k in node.kids:
+        if not isinstance(k, str):
+            yield from in_order(k)
+
+
+def test_without_densities_the_content_is_lost(monkeypatch):
+    """What chooses among parts that no tag or name tells apart is the density."""
+    post = "<div>" + "".join(f"<p>Paragraph {k} of the post is long, and longer than what stands in the lists beside it on this page.</p>" for k in range(6)) + "</div>"
+    lists = "<div>" + "".join(f"<span>t{k}</span> " for k in range(30)) + "</div>"
+    want = main_text(page(post))
+    assert main_text(page(lists + post + lists)) == want
+    measured = op4._measure
+
+    def flat(root):
+        measured(root)
+        for n in in_order(root):
+            n.density = 0.0
+
+    monkeypatch.setattr(op4, "_measure", flat)
+    assert main_text(page(lists + post + lists)) != want
