@@ -182,7 +182,9 @@ class Vocabulary:
         self._empty()
 
     def _empty(self) -> None:
-        self.ids, self.values, self.ends, self.alone = Ids(), Grown(np.float32, self.width), Grown(bool), Grown(bool)
+        self.ids, self.ends, self.alone = Ids(), Grown(bool), Grown(bool)
+        self.slot, self.values = Grown(np.int32), Grown(np.float32, self.width)  # most words are worth nothing: slot 0
+        self.values.extend(np.zeros((1, self.width), np.float32))
 
     def _of(self, words: list[str]) -> np.ndarray:
         """Values of words; a long one has the largest of its overlapping pieces."""
@@ -205,7 +207,7 @@ class Vocabulary:
         A sentence ends with a word that ends with . ! or ?, or after WORDS words. Single letters with white space between
         them count as a word, too, in the sentence of the first of them.
         """
-        if self.ids.full:
+        if self.ids.full or self.values.n * self.width > 4_000_000:
             self._empty()
         raw = [t.encode("utf-8", "replace").lower().split() if t else [] for t in texts]
         lens = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -218,22 +220,29 @@ class Vocabulary:
             new = [w.decode("utf-8", "replace") for w in new]
             letters = encode(new)[2]
             self.alone.extend(letters == 1)
-            values = np.zeros((len(new), self.width), np.float32)
+            slot = np.zeros(len(new), np.int32)
             some = np.flatnonzero(letters >= 3)
             if len(some):
-                values[some] = self._of([new[k] for k in some])
-            self.values.extend(values)
+                values = self._of([new[k] for k in some])
+                worth = np.flatnonzero((values != 0).any(1))
+                slot[some[worth]] = self.values.n + np.arange(len(worth))
+                self.values.extend(values[worth])
+            self.slot.extend(slot)
         place, first = np.arange(len(ids)), np.zeros(len(ids), bool)
         text_start = (np.cumsum(lens) - lens)[lens > 0]
         first[text_start] = True
         first[1:] |= self.ends.view[ids][:-1]
         first |= (place - np.maximum.accumulate(np.where(first, place, 0))) % WORDS == 0
         start = np.flatnonzero(first)
-        key = np.sort((np.cumsum(first) - 1) * len(self.ids) + ids)
-        key = key[np.diff(key, prepend=-1) > 0]
-        own, word = key // len(self.ids), key % len(self.ids)
-        begin = np.flatnonzero(np.diff(own, prepend=-1))
-        sums = np.concatenate([np.add.reduceat(self.values.view[word[a:b]], begin[i:j] - a, axis=0) for i, j, a, b in self._blocks(begin, len(word))])
+        sums = np.zeros((len(start), self.width), np.float32)
+        slot = self.slot.view[ids]
+        worth = np.flatnonzero(slot)
+        if len(worth):
+            key = np.sort((np.cumsum(first)[worth] - 1) * self.values.n + slot[worth])
+            key = key[np.diff(key, prepend=-1) > 0]
+            own, word = key // self.values.n, key % self.values.n
+            begin = np.flatnonzero(np.diff(own, prepend=-1))
+            sums[own[begin]] = np.add.reduceat(self.values.view[word], begin, axis=0)
         text = np.repeat(np.arange(len(texts)), lens)
         alone = self.alone.view[ids] & True
         new_run = alone & np.concatenate([[True], ~alone[:-1] | (text[1:] != text[:-1])])
@@ -250,15 +259,6 @@ class Vocabulary:
                     np.add.at(sums, at[some], self._of([spelled[k] for k in some]))
         return sums, text[start], np.bincount(text[start], minlength=len(texts))
 
-    @staticmethod
-    def _blocks(start: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
-        """Runs of sentences of some 100,000 words: from, to, first word, end."""
-        i = 0
-        while i < len(start):
-            j = max(i + 1, int(np.searchsorted(start, start[i] + 100_000)))
-            yield i, j, int(start[i]), int(start[j]) if j < len(start) else size
-            i = j
-
 
 PUNCTUATION = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
@@ -402,23 +402,22 @@ def _landmarks(texts: list[str], toxic: np.ndarray, most: int) -> tuple[list[str
     as long as chance is a bad explanation. A candidate counts as often as it has different neighbours, if that is less than in how many texts it
     is: so copies of one text count once.
     """
-    bags = [{w.strip(PUNCTUATION) for w in t.lower().split()} for t in texts]
-    bags = [{w for w in b if len(w) >= 3 and w.isalpha()} for b in bags]
+    bag = lambda t: {w for x in set(t.lower().split()) if len(w := x.strip(PUNCTUATION)) >= 3 and w.isalpha()}
     df: Counter = Counter()
-    for bag, y in zip(bags, toxic):
+    for text, y in zip(texts, toxic):
         if y > 0:
-            df.update({s for w in bag for s in _stems(w)})
+            df.update({s for w in bag(text) for s in _stems(w)})
     total = np.array([max(1, (toxic <= 0).sum()), max(1, (toxic > 0).sum())], float)
     least = max(2, 5e-3 * total[1])
     words = sorted(w for w, n in df.items() if n >= least)
-    place = {w: k for k, w in enumerate(words)}
-    tried = max(2, len(df))
+    place, tried = {w: k for k, w in enumerate(words)}, max(2, len(df))
     clean: Counter = Counter()
     plain: set[str] = set()
-    for bag, y in zip(bags, toxic):
+    for text, y in zip(texts, toxic):
         if y <= 0:
-            plain |= bag
-            clean.update({k for w in bag for s in _stems(w) if (k := place.get(s)) is not None})
+            own = bag(text)
+            plain |= own
+            clean.update({k for w in own for s in _stems(w) if (k := place.get(s)) is not None})
     n = np.array([[clean[k], df[w]] for k, w in enumerate(words)], float).reshape(-1, 2)
     gain = _gain(n, total)
     order = [k for k in sorted(range(len(words)), key=lambda k: (-gain[k], -len(words[k]), words[k]))[:3000] if gain[k] > 0]
@@ -435,7 +434,7 @@ def _landmarks(texts: list[str], toxic: np.ndarray, most: int) -> tuple[list[str
             for s in _stems(w) if len(w) >= 3 else ():
                 if (k := place.get(s)) is not None:
                     has[k, i] = True
-                    if (key := (k, hash((t[j - 1], t[j + 1])))) not in met:
+                    if contexts[k] < n[k, 1] and (key := (k, hash((t[j - 1], t[j + 1])))) not in met:
                         met.add(key)
                         contexts[k] += 1
     chosen: list[int] = []
@@ -493,8 +492,8 @@ def _svm_over(marks: list[str], n: int, texts: list[str], toxic: np.ndarray, see
     del parts, vocabulary
     if not len(x):
         return None
-    same = np.ascontiguousarray(np.round(x, 4)).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
-    one = np.sort(np.unique(same, return_index=True)[1])  # copies of a sentence count once
+    mark = np.round(x @ np.random.default_rng(seed).normal(size=x.shape[1]), 6)
+    one = np.sort(np.unique(mark, return_index=True)[1])  # copies of a sentence count once
     x, of = x[one], of[one]
     bad = toxic[of] > 0
     if not bad.any():
