@@ -34,11 +34,16 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
         a.add_argument("--w-sem", type=float, default=0.25)
         a.add_argument("--w-lex", type=float, default=0.15)
         a.add_argument("--prefilter", action="store_true")
+        a.add_argument("--whole-words", action="store_true")
+        a.add_argument("--unscoped-fallback", action="store_true")
         a.add_argument("--out")
         if name == "retrieve":
             for c in ("patient-id", "medication", "date-start", "date-end"):
                 a.add_argument(f"--{c}")
             a.add_argument("--backend", default="stub")
+        else:
+            a.add_argument("--summary-output", help="where the summary goes as JSON, if not beside the rows")
+            a.add_argument("--quiet", action="store_true", help="prints nothing")
     return p.parse_args(argv)
 
 
@@ -51,11 +56,13 @@ def main(argv: list[str] | None = None) -> None:
     if a.step == "index":
         print(f"{write_index(build_index(read_registry(spark, a.registry)), a.out).count()} chunks")
         return
-    settings = Settings(a.topk, a.k_semantic, a.k_lexical, a.n_rerank, a.w_ce, a.w_sem, a.w_lex, a.prefilter)
+    settings = Settings(a.topk, a.k_semantic, a.k_lexical, a.n_rerank, a.w_ce, a.w_sem, a.w_lex, a.prefilter, a.whole_words, a.unscoped_fallback)
     chunks = spark.read.parquet(a.chunks)
     if a.step == "evaluate":
-        found = evaluate(labelled_queries(spark, a.queries), chunks, settings, a.out)
-        found.summary.show(truncate=False)
+        found = evaluate(labelled_queries(spark, a.queries), chunks, settings, a.out, a.summary_output)
+        if not a.quiet:
+            found.per_query.orderBy("query_id").select("query_id", "intent_type", "n_relevant", "n_retrieved", "precision", "recall", "rr", "ap", "query").show(1000, truncate=60)
+            found.summary.show(1000, truncate=False)
         return
     schema = "query_id string, query string, filter_patient_id string, filter_medication string, filter_date_start string, filter_date_end string"
     q = spark.createDataFrame([("1", a.query, a.patient_id, a.medication, a.date_start, a.date_end)], schema)

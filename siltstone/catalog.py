@@ -267,11 +267,11 @@ def vector_topk_prefiltered(spark, sf):
 def bm25_scoped(spark, sf):
     q = queries(spark, sf).select("query_id", F.col("query_id").alias("scope_id"), expand(F.col("query")).alias("query"))
     seen = saved(_scope(spark, sf).select(F.col("query_id").alias("scope_id"), "vector_id"))
-    return bm25(q, seen, chunks(spark, sf), K, "chunk_text_full")
+    return bm25(q, seen, chunks(spark, sf), K, "chunk_text_full").withColumn("score_lexical", F.round("score_lexical", 6))
 
 
 def bm25_benchmark(spark, sf):
-    return _benchmark_results(spark, sf)
+    return _benchmark_results(spark, sf).withColumn("score_lexical", F.round("score_lexical", 6))
 
 
 def merge_minmax(spark, sf):

@@ -271,8 +271,8 @@ UNION ALL SELECT query_id, 'medication', {_CANONICAL.format('(' + _MED + ')')} F
     "vector_topk": f"SELECT query_id, vector_id, rank_semantic, score_semantic FROM ({_ranked('(SELECT q.vec_id AS query_id, e.vec_id AS vector_id, ' + _dot('q.embedding', 'e.embedding') + ' AS score_semantic FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0)', 'score_semantic', 200, 'rank_semantic')})",
     "vector_topk_scoped": f"WITH {SCOPE}, {SEMANTIC} SELECT query_id, vector_id, rank_semantic, score_semantic FROM sem",
     "vector_topk_prefiltered": f"WITH {SCOPE} SELECT query_id, vector_id, rank_semantic, score_semantic FROM ({_ranked('(SELECT s.query_id, s.vector_id, ' + _dot('asked.embedding', 'c.embedding') + ' AS score_semantic FROM s JOIN asked USING (query_id) JOIN c USING (vector_id) WHERE asked.embedding IS NOT NULL AND c.embedding IS NOT NULL)', 'score_semantic', K, 'rank_semantic')})",
-    "bm25_scoped": f"WITH {SCOPE}, {LEXICAL} SELECT query_id, vector_id, rank_lexical, score_lexical FROM lex",
-    "bm25_benchmark": f"WITH {_BENCH} SELECT query_id, vector_id, rank_lexical, score_lexical FROM lex",
+    "bm25_scoped": f"WITH {SCOPE}, {LEXICAL} SELECT query_id, vector_id, rank_lexical, round(score_lexical, 6) AS score_lexical FROM lex",
+    "bm25_benchmark": f"WITH {_BENCH} SELECT query_id, vector_id, rank_lexical, round(score_lexical, 6) AS score_lexical FROM lex",
     "merge_minmax": f"WITH {MERGED} SELECT query_id, vector_id, rank_initial, score_semantic, score_lexical, round(score_semantic_norm, 6) AS score_semantic_norm, round(score_lexical_norm, 6) AS score_lexical_norm, score_combined_initial FROM merged",
     "average_ranks": """WITH x AS (SELECT doc_id, lang, length(text) % 50 AS score FROM documents), y AS (SELECT doc_id, lang, CAST(rank() OVER (PARTITION BY lang ORDER BY score DESC NULLS LAST) + (count(*) OVER (PARTITION BY lang, score) - 1) / 2.0 AS DOUBLE) AS rank_ce, count(*) OVER (PARTITION BY lang) AS n FROM x)
 SELECT doc_id, rank_ce, round(CASE WHEN n = 1 THEN 1.0 ELSE 1 - (rank_ce - 1) / (n - 1) END, 6) AS score_ce_norm FROM y""",

@@ -22,10 +22,10 @@ class Evaluation:
     results: DataFrame
 
 
-def evaluate(queries: DataFrame, chunks: DataFrame, settings: Settings = Settings(), out: str | None = None, **options) -> Evaluation:
+def evaluate(queries: DataFrame, chunks: DataFrame, settings: Settings = Settings(), out: str | None = None, summary_out: str | None = None, **options) -> Evaluation:
     """Measures of labelled queries (query_id, query, intent_type, relevant and filter_*), and their summary.
 
-    With `out`, writes the rows as CSV and the summary as JSON there.
+    With `out`, writes the rows as CSV and the summary as JSON there, or the summary to `summary_out`.
     """
     results = retrieve(queries, chunks, None, settings, **options).results.select("query_id", "chunk_id", "rank", "score_final")
     per_query = saved(m.ranking_metrics(queries, results, settings.topk).join(queries.select("query_id", "query", "intent_type"), "query_id"))
@@ -33,7 +33,8 @@ def evaluate(queries: DataFrame, chunks: DataFrame, settings: Settings = Setting
     if out:
         listed = results.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda r: r["chunk_id"]), "|").alias("retrieved_chunks"))
         write_table(per_query.join(listed, "query_id", "left"), f"{out}/per_query.csv", "csv")
-        write_table(summary, f"{out}/summary.json", "json")
+    if out or summary_out:
+        write_table(summary, summary_out or f"{out}/summary.json", "json")
     return Evaluation(per_query, summary, results)
 
 

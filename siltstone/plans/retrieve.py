@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,18 +60,15 @@ class Retrieval:
     merged: DataFrame
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def _hashed(terms: pd.Series) -> pd.Series:
-    from zlib import crc32
-
-    out = []
-    for row in terms:
-        v = np.zeros(DIMENSIONS)
-        for t in row:
-            h = crc32(t.encode("utf-8"))
-            v[h % DIMENSIONS] += 1.0 if h >> 31 else -1.0
-        out.append((v / (np.linalg.norm(v) + 1e-12)).astype(np.float32))
-    return pd.Series(out)
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def _hashed(terms: pa.Array) -> pa.Array:
+    n = pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False)
+    words = terms.flatten().dictionary_encode()
+    h = np.fromiter((crc32(w.encode("utf-8")) for w in words.dictionary.to_pylist()), np.int64, len(words.dictionary))[words.indices.to_numpy()]
+    place = np.repeat(np.arange(len(n)), n) * DIMENSIONS + h % DIMENSIONS
+    v = np.bincount(place, np.where(h >> 31, 1.0, -1.0), minlength=len(n) * DIMENSIONS).reshape(len(n), DIMENSIONS)
+    v = (v / (np.linalg.norm(v, axis=1, keepdims=True) + 1e-12)).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * DIMENSIONS), pa.array(v.ravel()))
 
 
 def hash_embedding(text: Column) -> Column:
