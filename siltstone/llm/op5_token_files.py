@@ -104,23 +104,24 @@ class WordEncoder:
             return
         counts, own, plain = np.zeros(len(new), np.int64), {}, []
         fast = np.ones(len(new), bool)
-        for k, raw in enumerate(new):
-            word = raw.decode("utf-8")
-            if b"<|" in raw or not (raw.isascii() or PLAIN.fullmatch(word)):
-                own[k] = self.pieces.library.encode(word, add_special_tokens=False).ids
-                counts[k], fast[k] = len(own[k]), False
-            else:
-                plain.append(word)
-        kinds = Ids({"\n": 0})
-        which = kinds.of(PRE.findall("\n".join([*plain, ""]).lower()))
-        ends = np.flatnonzero(which == 0)
-        cut = np.diff(ends, prepend=-1) - 1  # pieces of each word
-        which = which[which > 0] - 1
-        del kinds["\n"]
-        flat, n = self.pieces.ids([p.encode() for p in kinds])
-        begin = np.cumsum(n) - n
-        ids = flat[spread(begin[which], n[which])]
-        sums = np.concatenate([[0], np.cumsum(n[which])])
+        for at in range(0, len(new), 256):  # blocks are looked at as a whole; few hold an odd word
+            block = new[at : at + 256]
+            text = b"\n".join(block).decode("utf-8")
+            if "<|" not in text and (text.isascii() or PLAIN.fullmatch(text)):
+                plain.append(text)
+                continue
+            for k, raw in enumerate(block, at):
+                word = raw.decode("utf-8")
+                if b"<|" in raw or not (raw.isascii() or PLAIN.fullmatch(word)):
+                    own[k] = self.pieces.library.encode(word, add_special_tokens=False).ids
+                    counts[k], fast[k] = len(own[k]), False
+                else:
+                    plain.append(word)
+        pieces = PRE.findall("\n".join([*plain, ""]).lower()) if plain else []
+        is_end = np.fromiter((p == "\n" for p in pieces), bool, len(pieces))
+        cut = np.diff(np.flatnonzero(is_end), prepend=-1) - 1  # pieces of each word
+        ids, n = self.pieces.ids([p.encode() for p in pieces if p != "\n"])
+        sums = np.concatenate([[0], np.cumsum(n)])
         ends = np.cumsum(cut)
         counts[fast] = sums[ends] - sums[ends - cut]
         out = np.empty(int(counts.sum()), self.flat.data.dtype)

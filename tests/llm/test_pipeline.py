@@ -95,7 +95,6 @@ def test_odd_rows_in_every_stage(spark, sf):
     ]
     before = spark.createDataFrame(rows, SCHEMA)
     stages = dict(cp.STAGES)
-    ids = lambda df: sorted((str(r.doc_id), (r.text or "")[:30], r.score) for r in df.collect())
     got = stages["toxicity"](spark, before, sf)
     assert got.schema.names == before.schema.names and Counter(map(tuple, got.collect())) == Counter(rows)
     got = stages["near_dedup"](spark, before, sf)
@@ -110,7 +109,7 @@ def test_odd_rows_in_every_stage(spark, sf):
     taken = mixed([(r[0], r[1], r[3]) for r in rows])
     assert Counter((r.text or "")[:30] for r in got.collect()) == Counter((rows[i][1] or "")[:30] for i, n in taken.items() for _ in range(n))
     files = stages["token_files"](spark, before, sf)
-    assert files.count() == len(rows) and ids(before) == ids(before)
+    assert files.count() == len(rows)
 
 
 def test_no_documents(spark, sf):
