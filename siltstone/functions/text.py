@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 FLAGS = "(?iumdU)"
 
 #: What is rewritten, in this order. UNITS and VITALS stand for steps that a plain replacement can't take.
+#: Characters that look alike or can't be seen (blanks, dashes, bullets) are written as escapes, to be told apart in print.
 UNITS, VITALS = "units", "vitals"
 RULES: list[tuple[str, str]] = [
     # redaction
@@ -58,7 +59,8 @@ RULES: list[tuple[str, str]] = [
     (r"\n{3,}", "\n\n"),
     (r"[^\S\n]{2,}", " "),
 ]
-#: Units in lower case, and abbreviations that keep their upper case.
+#: Units in lower case, and abbreviations that keep their upper case. Those that hold a digit are left out:
+#: only words of letters alone are looked at, so they can never match.
 UNIT_NAMES = ("mg", "mcg", "ml", "g", "l", "mcl")
 KEPT_UPPER = ("PO", "IV", "IM", "SQ", "PRN", "XR", "ER", "CR", "SR", "BID", "TID", "QID", "QD", "QHS", "QOD", "BP", "HR", "RR")
 

@@ -14,6 +14,7 @@ WORKED = ["effective", "successful", "worked", "helped", "controlled", "seizure-
 FAILED = ["ineffective", "failed", "not working", "refractory", "breakthrough", "continued seizures"]
 NEGATED = ["no seizure", "without seizure", "seizure-free", "no convulsion"]
 PATIENT = [r"patient\s*(?:id|#|number)?\s*:?\s*(\d{6,})", r"patient\s+(\d{6,})", r"pt\s*#?\s*(\d{6,})", r"id\s*:?\s*(\d{6,})"]
+#: What a day and a span of days look like.
 DAY = r"\d{4}-\d{2}-\d{2}"
 SPAN = rf"from\s+({DAY})\s+to\s+({DAY})"
 #: Words that tell that seizures are the question.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+#: The columns of the files that are exchanged, by name and order.
 REGISTRY = T.StructType(
     [T.StructField(c, T.StringType()) for c in ("row_id", "patient_id", "note_date", "note_id", "source_text_file", "source_date_key", "medication", "medication_dosage")]
     + [T.StructField("intake_times_per_day", T.DoubleType()), T.StructField("drug_mention_count", T.IntegerType())]
