@@ -1,6 +1,8 @@
+import math
+
 import numpy as np
 
-from siltstone.llm.op10_language_id import Model, detect_languages, op10_language_id, viterbi
+from siltstone.llm.op10_language_id import BITS, RANGES, Model, _grams, detect_languages, op10_language_id, train, viterbi
 
 
 def test_held_out_documents(spark):
@@ -39,3 +41,41 @@ def test_viterbi_against_all_paths():
         best = max(worth(p) for p in product(range(3), repeat=int(n)))
         assert abs(worth(got[at : at + n].tolist()) - best) < 1e-5
         at += n
+
+
+def test_word_scores_by_counting():
+    """A word's score for a language is the sum of its trigrams' smoothed log shares, less the best language's, at least -12."""
+    texts, langs = [EN, DE, EN[:30]], ["en", "de", "en"]
+    model = Model(texts, langs, smoothing=0.05)
+    counts = {k: {} for k in ("de", "en")}
+    for text, lang in zip(texts, langs):
+        for w in text.split():
+            for g in _grams([w])[0].tolist():
+                counts[lang][g] = counts[lang].get(g, 0) + 1
+    used = len({g for c in counts.values() for g in c})
+    share = lambda lang, g: math.log((counts[lang].get(g, 0) + 0.05) / (sum(counts[lang].values()) + 0.05 * used))
+    words = ["house", "haus", "kindern", "xyz", "the"]
+    for w, got in zip(words, model.scores(words)):
+        grams = _grams([w])[0].tolist()
+        assert len(grams) == len(w) and all(0 <= g < 1 << BITS for g in grams)
+        raw = [sum(share(k, g) if any(g in c for c in counts.values()) else 0.0 for g in grams) for k in ("de", "en")]
+        assert np.allclose(got, [max(x - max(raw), -12) for x in raw], atol=1e-3), w
+
+
+def test_scripts():
+    names = {"a": "Latin", "é": "Latin", "ж": "Cyrillic", "α": "Greek", "ש": "Hebrew", "ع": "Arabic", "あ": "Kana", "漢": "Han", "한": "Hangul", "ก": "Thai", "अ": "Devanagari"}
+    for c, want in names.items():
+        assert [s for a, s in RANGES if a <= ord(c)][-1] == want, c
+
+
+def test_ties_and_the_sample(spark):
+    """Tied languages go to the first in order; a sample of at most so many texts is the same however the rows are dealt."""
+    model = Model(["aaa bbb", "aaa bbb"], ["y", "x"])
+    df = spark.createDataFrame([(1, "aaa bbb"), (2, "bbb")], "doc_id long, text string")
+    assert {r.lang_pred for r in detect_languages(df, model).collect()} == {"x"}
+    rows = [(k, f"wort{k} und das" if k % 3 else f"word{k} and the", "de" if k % 3 else "en") for k in range(600)] + [(None, "null key", "fr"), (700, None, "fr"), (701, "no language", None)]
+    df = spark.createDataFrame(rows, "k long, t string, l string")
+    a, b = (train(df.repartition(n), "t", "l", "k", 50) for n in (1, 5))
+    assert a.langs == b.langs == ["de", "en"] and (a.table == b.table).all()
+    assert train(df.limit(0), "t", "l", "k", 50).langs == ["und"]
+    assert train(df, "t", "l", "k", 1000, most=4).langs == ["de", "en"]
