@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import small
 from .common import Grown, Ids, lean, saved, slices, table, with_row_key, words
 from .graph import components
 
@@ -254,8 +255,9 @@ def _joined(left: DataFrame, reps: DataFrame, docs: DataFrame, n: int, t: float)
     Blocks of the documents that are not inner meet each other and the blocks of those that are. A task holds two blocks.
     """
     percent = round(t * 100)
-    many = left.groupBy("hub").agg(F.count_if("inner").alias("g"), F.count_if(~F.col("inner")).alias("o")).filter("o > 0")
-    left = left.join(many.select("hub", F.ceil(F.col("g") / BLOCK).cast("int").alias("gb"), F.ceil(F.col("o") / BLOCK).cast("int").alias("ob")), "hub")
+    left = saved(left)  # so that a hub's rows are split where it is joined, which they can't be where it is counted
+    many = saved(left.groupBy("hub").agg(F.count_if("inner").alias("g"), F.count_if(~F.col("inner")).alias("o")).filter("o > 0"))
+    left = left.join(small(many.select("hub", F.ceil(F.col("g") / BLOCK).cast("int").alias("gb"), F.ceil(F.col("o") / BLOCK).cast("int").alias("ob"))), "hub")
     texts = _texts(left, reps, docs)
     left = left.withColumn("c", F.pmod(F.xxhash64("rep"), F.when(F.col("inner"), F.col("gb")).otherwise(F.col("ob"))).cast("int"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
