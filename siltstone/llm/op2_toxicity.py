@@ -244,7 +244,7 @@ class Vocabulary:
             begin = np.flatnonzero(np.diff(own, prepend=-1))
             sums[own[begin]] = np.add.reduceat(self.values.view[word], begin, axis=0)
         text = np.repeat(np.arange(len(texts)), lens)
-        alone = self.alone.view[ids] & True
+        alone = self.alone.view[ids]
         new_run = alone & np.concatenate([[True], ~alone[:-1] | (text[1:] != text[:-1])])
         run = np.flatnonzero(new_run)
         if len(run):
@@ -253,7 +253,8 @@ class Vocabulary:
             run, size = run[keep], size[keep]
             if len(run):
                 flat = [w for r in raw for w in r]
-                spelled = ["".join(c for w in flat[a : a + n] if LETTER[ord(c := w.decode("utf-8", "replace").strip(PUNCTUATION)[:1] or "\0") & 0xFFFF]) for a, n in zip(run, size)]
+                letter = lambda w: next((c for c in w.decode("utf-8", "replace") if c < "\U00010000" and LETTER[ord(c)]), "")
+                spelled = ["".join(map(letter, flat[a : a + n])) for a, n in zip(run, size)]
                 at, some = np.searchsorted(start, run, "right") - 1, [k for k, w in enumerate(spelled) if len(w) >= 3]
                 if some:
                     np.add.at(sums, at[some], self._of([spelled[k] for k in some]))
@@ -399,8 +400,8 @@ def _landmarks(texts: list[str], toxic: np.ndarray, most: int) -> tuple[list[str
     """Words and beginnings of words that tell toxic texts from others, and the words of other texts.
 
     They are taken one by one, none close to an earlier one, and each for toxic texts that the earlier ones reach less,
-    as long as chance is a bad explanation. A candidate counts as often as it has different neighbours, if that is less than in how many texts it
-    is: so copies of one text count once.
+    as long as chance is a bad explanation. A candidate counts as often as it has different neighbours, if that is less
+    than in how many texts it is: so copies of one text count once.
     """
     bag = lambda t: {w for x in set(t.lower().split()) if len(w := x.strip(PUNCTUATION)) >= 3 and w.isalpha()}
     df: Counter = Counter()
