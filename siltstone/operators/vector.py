@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shared import saved
+from .best import Best
 from .lexical import ranked
 
 #: Numbers of the query vectors that go to every task at once; more queries take further passes over the vectors.
@@ -38,40 +39,6 @@ def usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & ~F.exists(v, bad), F.lit(False))
 
 
-class _Best:
-    """The k best rows of each query so far: more are held for a while and then cut."""
-
-    def __init__(self, queries: int, k: int):
-        self.k, self.room = k, max(1 << 16, 4 * queries * k)
-        self.floor = np.full(queries, -np.inf)  # what a further row must reach
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
-
-    def add(self, first: int, ids: np.ndarray, score: np.ndarray) -> None:
-        """score: rows by queries, these from `first` on."""
-        least = self.floor[first : first + score.shape[1]]
-        if len(ids) > self.k:  # ties at the edge stay, for the smaller id to win
-            least = np.maximum(least, np.partition(score, len(ids) - self.k, axis=0)[len(ids) - self.k])
-        row, query = np.nonzero(score >= least)
-        self.parts.append((first + query, ids[row], score[row, query]))
-        self.held += len(row)
-        if self.held > self.room:
-            self.cut()
-
-    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        query, ids, score = (np.concatenate(x) for x in zip((np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), *self.parts))
-        order = np.lexsort((ids, -score, query))
-        query, ids, score = query[order], ids[order], score[order]
-        begin = np.flatnonzero(np.diff(query, prepend=-1))
-        place = np.arange(len(query)) - np.repeat(begin, np.diff(begin, append=len(query)))
-        last = place == self.k - 1
-        self.floor[query[last]] = score[last]
-        keep = place < self.k
-        self.parts = [(query[keep], ids[keep], score[keep])]
-        self.held = int(keep.sum())
-        return self.parts[0]
-
-
 def _pass(asked: pa.Table, kind: str, vectors: DataFrame, k: int) -> DataFrame:
     """query_id, vector_id, score_semantic: the k best rows of each task for the asked queries."""
     size = np.array([len(v) for v in asked.column("embedding").to_pylist()], np.int64)
@@ -83,7 +50,7 @@ def _pass(asked: pa.Table, kind: str, vectors: DataFrame, k: int) -> DataFrame:
     fields = pa.schema([pa.field("query_id", asked.schema.field("query_id").type), pa.field("vector_id", pa.int64()), pa.field("score_semantic", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {d: _Best(len(names), k) for d, (names, _) in held.value.items()}
+        best = {d: Best(len(names), k) for d, (names, _) in held.value.items()}
         for big in batches:
             for at in range(0, big.num_rows, ROWS):
                 batch = big.slice(at, ROWS)
