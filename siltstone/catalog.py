@@ -19,7 +19,7 @@ from .operators.answer import answers
 from .operators.chunk import chunk_rows, split_list, windows
 from .operators.fusion import average_rank, merge_candidates, rank_norm
 from .operators.intent import with_intent
-from .operators.lexical import bm25, postings
+from .operators.lexical import bm25, spoken, term_counts
 from .operators.notes import build_registry, split_notes
 from .operators.scope import filters_applied, scope
 from .operators.vector import normalised, scoped_top_k, vector_top_k
@@ -205,8 +205,15 @@ def tokenize(spark, sf):
 
 
 def term_statistics(spark, sf):
-    p = postings(_table(spark, sf, "documents").select(F.col("doc_id").alias("vector_id"), "text"))
-    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    """df counts ids; rows that share one, or have none, are counted apart from the others."""
+    docs = _table(spark, sf, "documents").select("doc_id", "text")
+    odd = saved(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("odd")))
+    if odd.isEmpty():
+        return term_counts(docs.select(spoken("text").alias("said")))
+    same = F.col("doc_id").eqNullSafe(F.col("odd"))
+    alone = term_counts(docs.join(odd, same, "left_anti").select(spoken("text").alias("said")))
+    shared = docs.join(odd, same, "left_semi").select("doc_id", F.explode(tokens("text")).alias("term")).groupBy("term").agg(F.countDistinct("doc_id").alias("df"), F.count("*").alias("cf"))
+    return alone.unionByName(shared).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
 def paragraph_windows(spark, sf):

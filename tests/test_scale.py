@@ -75,3 +75,14 @@ def test_best_drops_ties_with_larger_ids():
         assert best.held <= 4
     best.add(0, np.array([-1]), np.zeros((1, 1)))
     assert list(best.cut()[1]) == [-1, 0]
+
+
+def test_term_statistics(spark, tmp_path):
+    rows = [(1, "a b a"), (2, "b"), (3, None), (4, ""), (5, "?!"), (6, "c c"), (6, "c c c"), (None, "d a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/odd/documents.parquet")
+    got = {r.term: (r.df, r.cf) for r in catalog.term_statistics(spark, f"{tmp_path}/odd").collect()}
+    assert got == {"a": (1, 3), "b": (2, 2), "c": (1, 5), "d": (0, 1)}
+    spark.createDataFrame(rows[:6], "doc_id long, text string").write.parquet(f"{tmp_path}/plain/documents.parquet")
+    found = catalog.term_statistics(spark, f"{tmp_path}/plain")
+    assert {r.term: (r.df, r.cf) for r in found.collect()} == {"a": (1, 2), "b": (2, 2), "c": (1, 2)}
+    assert "Generate" not in plan(found)  # a batch's counts are rows, not its words
