@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..shared import saved
+from ..shared import saved, small
 from .best import Best
 from .lexical import ranked
 
@@ -101,8 +101,9 @@ def scoped_top_k(queries: DataFrame, vectors: DataFrame, scoped: DataFrame, k: i
     scoped: query_id, vector_id. With prefilter, scores are taken of every pair in the scope.
     """
     if not prefilter:
-        top = vector_top_k(queries, vectors, 3 * k).drop("rank_semantic")
-        return ranked(top.join(scoped.select("query_id", "vector_id"), ["query_id", "vector_id"], "left_semi"), "score_semantic", k, "rank_semantic")
+        top = saved(vector_top_k(queries, vectors, 3 * k).drop("rank_semantic"))
+        inside = scoped.select("query_id", "vector_id").join(small(top.select("query_id", "vector_id")), ["query_id", "vector_id"]).distinct()  # scopes aren't shuffled
+        return ranked(top.join(inside, ["query_id", "vector_id"], "left_semi"), "score_semantic", k, "rank_semantic")
     asked = queries.filter(usable(F.col("embedding"))).select("query_id", F.col("embedding").alias("q"))
     met = scoped.select("query_id", "vector_id").join(asked, "query_id").join(vectors.filter(usable(F.col("embedding"))), "vector_id").filter(F.size("q") == F.size("embedding"))
     return ranked(met.select("query_id", "vector_id", F.round(dot(F.col("q"), F.col("embedding")), 9).alias("score_semantic")), "score_semantic", k, "rank_semantic")

@@ -114,8 +114,11 @@ def retrieve(
     names = counts.columns[1:]
     counts = counts.select("query_id", F.struct(*[F.coalesce(c, F.lit(0)).alias(c) for c in names]).alias("pipeline_stats"))
     flags = scoped.select("query_id", "vector_id", "date_relaxed", "medication_dropped")
-    trail = audit_rows(results, q, counts, filters_applied(q, flags))
-    trail = trail.join(flags.select("query_id").distinct().withColumn("some", F.lit(True)), "query_id", "left").withColumn("empty_scope", F.col("some").isNull()).drop("some")
+    # a row per scope: queries that share one aren't joined with its chunks for this
+    relaxed = saved(seen.groupBy("scope_id").agg(F.max("date_relaxed").alias("date_relaxed"), F.max("medication_dropped").alias("medication_dropped")))
+    relaxed = q.select("query_id", "scope_id").join(relaxed, "scope_id")
+    trail = audit_rows(results, q, counts, filters_applied(q, relaxed))
+    trail = trail.join(relaxed.select("query_id", F.lit(True).alias("some")), "query_id", "left").withColumn("empty_scope", F.col("some").isNull()).drop("some")
     return Retrieval(results, None if registry is None else with_registry(results, registry), trail, flags, semantic, lexical, merged)
 
 

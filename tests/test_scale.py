@@ -86,3 +86,8 @@ def test_term_statistics(spark, tmp_path):
     found = catalog.term_statistics(spark, f"{tmp_path}/plain")
     assert {r.term: (r.df, r.cf) for r in found.collect()} == {"a": (1, 2), "b": (2, 2), "c": (1, 2)}
     assert "Generate" not in plan(found)  # a batch's counts are rows, not its words
+
+
+def test_chunks_without_vectors_need_no_join(spark, sf):
+    assert "Join" not in plan(catalog.chunks(spark, sf).drop("embedding"))
+    assert "Join" in plan(catalog.chunks(spark, sf))
