@@ -137,11 +137,11 @@ def _benchmark_results(spark: SparkSession, sf: str) -> DataFrame:
 
 def _metrics(spark: SparkSession, sf: str, answered: Column | None = None) -> DataFrame:
     """Relevant to item n are the documents of quality 1 whose id has n's last digit. answered: which items have results."""
-    good = _table(spark, sf, "labels").filter("quality = 1").select((F.col("doc_id") % 10).alias("d"), F.col("doc_id").cast("string").alias("c")).groupBy("d").agg(F.collect_set("c").alias("relevant"))
-    q = _benchmark(spark, sf).withColumn("d", F.col("query_id").cast("long") % 10).join(good, "d", "left")
-    q = q.select("query_id", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"), F.concat(F.lit("type"), (F.col("d") % 3).cast("string")).alias("intent_type"))
+    good = _table(spark, sf, "labels").filter("quality = 1 and doc_id is not null").select((F.col("doc_id") % 10).alias("set_id"), F.col("doc_id").cast("string").alias("chunk_id")).distinct()
+    d = F.col("query_id").cast("long") % 10
+    q = _benchmark(spark, sf).select("query_id", d.alias("set_id"), F.concat(F.lit("type"), (d % 3).cast("string")).alias("intent_type"))
     results = _benchmark_results(spark, sf).filter(F.lit(True) if answered is None else answered).select("query_id", F.col("vector_id").cast("string").alias("chunk_id"), F.col("rank_lexical").alias("rank"))
-    return m.ranking_metrics(q, results).join(q.select("query_id", "intent_type"), "query_id")
+    return m.ranking_metrics(q, saved(results), relevant=good).join(q.select("query_id", "intent_type"), "query_id")
 
 
 def _stats(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import small
+
 
 def filter_map(text):
     """A map from JSON text that may be quoted and may use single quotes; an empty map if it can't be read."""
@@ -18,14 +20,22 @@ def relevant_ids(text):
     return F.when(F.coalesce(F.trim(text), F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(text, "\\|")))
 
 
-def ranking_metrics(queries: DataFrame, results: DataFrame, k: int = 10) -> DataFrame:
+def ranking_metrics(queries: DataFrame, results: DataFrame, k: int = 10, relevant: DataFrame | None = None) -> DataFrame:
     """query_id, n_relevant, n_retrieved, precision, recall, rr, ap for each query, failed ones (no results) included.
 
     queries: query_id, relevant (array of distinct chunk ids); results: query_id, chunk_id, rank. Precision divides by k even
     if fewer rows came; recall and ap are 0 without relevant ids; rr looks at the whole list.
+    Where queries share sets of relevant ids, these are given as `relevant` (set_id, chunk_id, distinct) and queries hold a
+    set_id instead: no set is then copied to its queries, and of its ids only those among the results are looked at.
     """
-    r = queries.select("query_id", F.size("relevant").alias("n")).join(results.select("query_id", "chunk_id", "rank"), "query_id", "left")
-    good = queries.select("query_id", F.explode(F.array_distinct("relevant")).alias("chunk_id")).withColumn("hit", F.lit(1))
+    if relevant is None:
+        asked = queries.select("query_id", F.size("relevant").alias("n"))
+        good = queries.select("query_id", F.explode(F.array_distinct("relevant")).alias("chunk_id")).withColumn("hit", F.lit(1))
+    else:
+        asked = queries.join(relevant.groupBy("set_id").agg(F.count("*").alias("n")), "set_id", "left").select("query_id", F.coalesce("n", F.lit(0)).alias("n"))
+        met = queries.select("query_id", "set_id").join(results.select("query_id", "chunk_id").distinct(), "query_id")
+        good = relevant.join(small(met), ["set_id", "chunk_id"]).select("query_id", "chunk_id", F.lit(1).alias("hit"))
+    r = asked.join(results.select("query_id", "chunk_id", "rank"), "query_id", "left")
     r = r.join(good, ["query_id", "chunk_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     r = r.withColumn("so_far", F.sum("hit").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
     g = r.groupBy("query_id").agg(

@@ -88,6 +88,20 @@ def test_term_statistics(spark, tmp_path):
     assert "Generate" not in plan(found)  # a batch's counts are rows, not its words
 
 
+def test_measures_with_shared_sets(spark):
+    q = spark.createDataFrame([("q", 1), ("r", 1), ("none", 2), ("unlabelled", 3), ("null", None)], "query_id string, set_id int")
+    good = spark.createDataFrame([(1, "b"), (1, "c"), (1, "d"), (2, "x")], "set_id int, chunk_id string")
+    r = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3), ("r", "d", 1), ("unlabelled", "a", 1), ("null", "b", 1)], "query_id string, chunk_id string, rank int")
+    each = q.join(good.groupBy("set_id").agg(F.collect_list("chunk_id").alias("relevant")), "set_id", "left").select("query_id", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"))
+    shared = m.ranking_metrics(q, r, relevant=good)
+    assert sorted(shared.collect()) == sorted(m.ranking_metrics(each, r).collect())
+    assert {x.query_id: x.n_relevant for x in shared.collect()} == {"q": 3, "r": 3, "none": 1, "unlabelled": 0, "null": 0}
+
+
+def test_sets_of_relevant_ids_are_not_copied_to_items(spark):
+    assert "collect_set" not in plan(catalog.ranking_measures(spark, "/root/testdata/sf0.001"))
+
+
 def test_chunks_without_vectors_need_no_join(spark, sf):
     assert "Join" not in plan(catalog.chunks(spark, sf).drop("embedding"))
     assert "Join" in plan(catalog.chunks(spark, sf))
