@@ -12,6 +12,7 @@ its most toxic sentence and the number of its sentences.
 
 from __future__ import annotations
 
+import pickle
 import random
 import unicodedata
 from collections import Counter
@@ -516,11 +517,20 @@ def _svm_over(marks: list[str], n: int, texts: list[str], toxic: np.ndarray, see
 def train(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id", most: int = 4000) -> Model:
     """Fits on at most `most` labelled documents, those with the least hash of their key; null labels and texts don't count.
 
-    The driver gets those documents' texts and nothing else.
+    One task gets those documents' texts and fits; the driver gets the model and nothing else.
     """
     picked = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
-    got = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null").join(F.broadcast(picked), "k").select("k", "t", "y").orderBy("k", F.xxhash64("t")).toArrow()
-    return fit(got.column("t").to_pylist(), [int(y > 0) for y in got.column("y").to_pylist()])
+    rows = df.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t")).filter("t is not null").join(F.broadcast(picked), "k").select("k", "t", "y").repartition(1).sortWithinPartitions("k", F.xxhash64("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            toxic += [int(y > 0) for y in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, toxic))], pa.binary())], names=["model"])
+
+    made = lean(rows.select("t", "y")).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], [])  # no task runs where Spark knows that there are no rows
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, out: tuple[str, str] = ("score", "predicted")) -> DataFrame:

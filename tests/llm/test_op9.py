@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from siltstone.llm import graph
 from siltstone.llm import op9_near_dedup as op9
 
 
@@ -67,3 +68,26 @@ def test_documents(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = op9.op9_near_dedup(spark, sf)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=repr) == brute(docs, 3, 85)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_by_rounds_and_in_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    rng = random.Random(4)
+    pairs = [(rng.randrange(60), rng.randrange(60)) for _ in range(35)] + [(k, k + 1) for k in range(100, 140)] + [(200 + k, 199) for k in range(20)] + [(7, 7), (500, 500), (101, 100)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(3)
+    least = {x: x for a, b in pairs if a != b for x in (a, b)}
+    for _ in least:
+        for a, b in pairs:
+            if a != b:
+                least[a] = least[b] = min(least[a], least[b])
+    assert sorted(map(tuple, graph.components(edges).collect())) == sorted(least.items())
+    assert graph.components(edges.limit(0)).collect() == []
+
+
+def test_few_edges_take_few_stages(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    spark.sparkContext.setJobGroup("few edges", "")
+    graph.components(edges).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 8
