@@ -141,13 +141,18 @@ def apply_rules(text: Column) -> Column:
     return text
 
 
+#: Pieces whose case is looked at: words, and runs of what stays as it is: lower-case words, if they have over three letters
+#: or are no abbreviation in ASCII, and what lies between words. A run has an end, for Java goes a call deeper with each part.
+CASED = r"((?:[^\p{L}\p{N}_]++|\p{Ll}{4,}+(?![\p{L}\p{N}_])|(?!(?:KNOWN)(?![\p{L}\p{N}_]))[a-z]{1,3}+(?![\p{L}\p{N}_])){1,60}|[\p{L}\p{N}_]+)".replace("KNOWN", "|".join(KEPT_UPPER).lower())
+
+
 def repair_case(text: Column) -> Column:
     """Mixed-case words to lower case, known abbreviations to upper case, all else as it is."""
     known = F.array(*map(F.lit, KEPT_UPPER))
     fix = lambda w: (
         F.when((F.length(w) > 3) & (w == F.lower(w)), w).when(~w.rlike(r"^\p{L}+$"), w).when(F.array_contains(known, F.upper(w)), F.upper(w)).when((w != F.lower(w)) & (w != F.upper(w)), F.lower(w)).otherwise(w)
     )
-    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"), F.lit(1)), fix), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(CASED), F.lit(1)), fix), "")
 
 
 def strip(text: Column) -> Column:
